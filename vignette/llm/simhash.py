@@ -290,11 +290,13 @@ def deduplicate(docs: DataFrame, distance: int = MAX_DISTANCE, recall: float = R
     """The rows of docs (all columns) without those that copy a document with a smaller doc_id. Of rows that repeat
     a doc_id one stays; rows without doc_id or without words stay."""
     member = stored(groups(docs, distance, recall), "groups")
-    gone = member.where("NOT is_kept").select("doc_id").distinct()
+    # Both sides grow with the corpus, so this is a shuffled join at every size; hashing the ids spares sorting texts.
+    gone = member.where("NOT is_kept").select("doc_id").distinct().hint("shuffle_hash")
     rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     twice = member.where("is_kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return rest
+    twice = twice.hint("shuffle_hash")
     one = rest.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     return rest.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
 
