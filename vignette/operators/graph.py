@@ -44,7 +44,8 @@ def is_noise(name: Column) -> Column:
 def clean_entities(entities: DataFrame, by: list[str], order: str = "ord") -> DataFrame:
     """(by, text, label, order): known labels, cleaned names, no noise; of names that differ in case only the first,
     or the first not in capitals if that one is, in the first one's place."""
-    rows = entities.where(F.col("label").isin(ENTITY_TYPES)).withColumn("text", clean_name(F.col("text")))
+    # explode() keeps the optimizer from pushing the filters below the cleaning, which would repeat it in every predicate
+    rows = entities.where(F.col("label").isin(ENTITY_TYPES)).select(*by, "label", order, F.explode(F.array(clean_name(F.col("text")))).alias("text"))
     rows = rows.where((F.col("text") != "") & ~is_noise(F.col("text"))).withColumn("__key", F.lower("text"))
     shouted = (F.col("text") == F.upper("text")) & (F.col("text") != F.lower("text"))
     one = rows.groupBy(*by, "__key").agg(F.min_by(F.struct("text", "label"), F.struct(shouted, order)).alias("e"), F.min(order).alias(order))

@@ -27,20 +27,25 @@ def search(corpus: DataFrame, query: Sequence[float], k: int = 20, key: Sequence
     return rows.withColumn("score", F.round(cosine(F.col(vector), wanted), DIGITS)).orderBy(F.desc("score"), *key).limit(k)
 
 
-def _blocks(rows: DataFrame, id_col: str, vector: str, size: int, prefix: str) -> DataFrame:
-    numbered = rows.select(F.col(id_col).cast("bigint").alias("i"), F.col(vector).cast("array<double>").alias("v"), F.monotonically_increasing_id().alias("m"))
-    block = numbered.groupBy(F.shiftright("m", 33).alias("part"), F.floor(F.col("m").bitwiseAND((1 << 33) - 1) / size).alias("nth"))
-    return block.agg(F.collect_list("i").alias(f"{prefix}_ids"), F.flatten(F.collect_list("v")).alias(f"{prefix}_flat")).drop("part", "nth")
+def _blocks(rows: DataFrame, id_col: str, vector: str, size: int, prefix: str, group: str | None, keep: bool) -> DataFrame:
+    """Rows of up to `size` vectors. With keep, a block holds one group only; else every vector brings its group's hash."""
+    code = F.xxhash64(group) if group else F.lit(0).cast("bigint")
+    numbered = rows.select(F.col(id_col).cast("bigint").alias("i"), F.col(vector).cast("array<double>").alias("v"), code.alias("g"), F.monotonically_increasing_id().alias("m"), *([F.col(group).alias("group")] if keep else []))
+    block = numbered.groupBy(F.shiftright("m", 33).alias("part"), F.floor(F.col("m").bitwiseAND((1 << 33) - 1) / size).alias("nth"), *(["group"] if keep else []))
+    return block.agg(F.collect_list("i").alias(f"{prefix}_ids"), F.flatten(F.collect_list("v")).alias(f"{prefix}_flat"), F.collect_list("g").alias(f"{prefix}_groups")).drop("part", "nth")
 
 
-def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query: str = "q", corpus_id: str = "vec_id", vector: str = "embedding", exclude_same: bool = False, block: int = 1024) -> DataFrame:
-    """(query_id, corpus_id, score, rank): the k nearest corpus rows of every query, by score, then corpus id."""
-    pairs = _blocks(queries, query_id, query, block, "q").crossJoin(_blocks(corpus, corpus_id, vector, block, "c"))
+def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query: str = "q", corpus_id: str = "vec_id", vector: str = "embedding", exclude_same: bool = False, block: int = 1024, same: str | None = None, other: str | None = None) -> DataFrame:
+    """(query_id, corpus_id, score, rank): the k nearest corpus rows of every query, by score, then corpus id. `same`
+    names a column that both sides share: only equal rows meet. `other` names one in which they must differ."""
+    group = same or other
+    left, right = _blocks(queries, query_id, query, block, "q", group, bool(same)), _blocks(corpus, corpus_id, vector, block, "c", group, bool(same))
+    pairs = left.join(right, "group") if same else left.crossJoin(right)
 
     def product(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                q_ids, q, c_ids, c = (batch.column(i)[r].values.to_numpy(zero_copy_only=False) for i in range(4))
+                q_ids, q, q_g, c_ids, c, c_g = (batch.column(i)[r].values.to_numpy(zero_copy_only=False) for i in range(6))
                 if not len(q_ids) or not len(c_ids):
                     continue
                 x, y = q.reshape(len(q_ids), -1), c.reshape(len(c_ids), -1)
@@ -48,11 +53,13 @@ def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "
                 score = np.round(np.divide(x @ y.T, lengths, out=np.zeros_like(lengths), where=lengths > 0), DIGITS)
                 if exclude_same:
                     score[q_ids[:, None] == c_ids[None, :]] = -2.0
+                if other:
+                    score[q_g[:, None] == c_g[None, :]] = -2.0
                 order = np.lexsort((np.broadcast_to(c_ids, score.shape), -score), axis=1)[:, :k]
                 best = np.take_along_axis(score, order, 1)
                 a, b = np.nonzero(best > -2)
                 yield pa.RecordBatch.from_arrays([pa.array(q_ids[a]), pa.array(c_ids[order[a, b]]), pa.array(best[a, b])], ["query_id", "corpus_id", "score"])
 
-    found = pairs.select("q_ids", "q_flat", "c_ids", "c_flat").mapInArrow(product, "query_id bigint, corpus_id bigint, score double")
+    found = pairs.select("q_ids", "q_flat", "q_groups", "c_ids", "c_flat", "c_groups").mapInArrow(product, "query_id bigint, corpus_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
