@@ -1,10 +1,13 @@
-"""Training pairs: positives from a query's own movie, negatives from other movies."""
+"""Training pairs: positives from a query's own movie, negatives from other movies; shares, splits and studies."""
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from .nearest import block_top_k
 
 MIN_SIMILARITY = 0.35
@@ -98,3 +101,58 @@ def relation_lines(relations: DataFrame, minimum: int = 10, most: int = 20) -> D
     listed = F.array_sort(F.collect_list(F.when(F.col("n") <= most, F.struct("n", "line"))))
     made = rows.groupBy("movie_id").agg(F.count("*").alias("relations"), listed.alias("l")).where(F.col("relations") >= minimum)
     return made.select("movie_id", "relations", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("shown"))
+
+
+def balanced(rows: DataFrame, workers: int, size: str, key: str) -> DataFrame:
+    """rows with `worker`: dealt out in turn, the largest first. The order is global, so only (key, size) is sorted, in
+    ranges: a row's place is its place in the range plus the sizes of the ranges before."""
+    slim = rows.select(F.col(key), F.col(size).alias("__size")).repartitionByRange(F.desc("__size"), F.col(key)).sortWithinPartitions(F.desc("__size"), F.col(key))
+    placed = stored(slim.select(key, "__size", F.spark_partition_id().alias("__part")), "placed")
+    starts, total = [], 0  # one number a range
+    for r in placed.groupBy("__part").agg(F.count("*").alias("n")).orderBy("__part").collect():
+        starts.append((r["__part"], total))
+        total += r["n"]
+    offset = rows.sparkSession.createDataFrame(starts or [(0, 0)], "__part int, __start bigint")
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(F.desc("__size"), F.col(key)))
+    worker = placed.join(F.broadcast(offset), "__part").select(key, ((F.col("__start") + inside - 1) % workers).cast("int").alias("worker"))
+    return rows.join(worker, key)
+
+
+def split(rows: DataFrame, held_out: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(rows for training, held-out rows), told apart by the key."""
+    keys = held_out.select(key).distinct()
+    return rows.join(keys, key, "left_anti"), rows.join(keys, key, "left_semi")
+
+
+def grid(rows: DataFrame, equals: dict | None = None, contains: dict | None = None, fuzzy: dict | None = None, order: list | None = None, page: int = 0, size: int = 10, case_sensitive: bool = False, distance: int = 2) -> DataFrame:
+    """A page of a filtered and sorted table. contains looks for parts of strings, fuzzy allows `distance` edits."""
+    for name, value in (equals or {}).items():
+        rows = rows.where(F.col(name) == value)
+    for name, value in (contains or {}).items():
+        rows = rows.where(F.contains(F.col(name), F.lit(value)) if case_sensitive else F.contains(F.lower(name), F.lit(value.lower())))
+    for name, value in (fuzzy or {}).items():
+        rows = rows.where(F.levenshtein(F.lower(name), F.lit(value.lower()), distance) >= 0)
+    return rows.orderBy(*(order or rows.columns)).offset(page * size).limit(size)
+
+
+def assignments(queries: list[str], methods: list[str], people: int, each: int, seed: int = 42) -> list[tuple[str, str, str]]:
+    """(person, query, method) of a rating study: every pair of a query and a method goes to two people, nobody sees a
+    query twice, and everybody gets the methods in equal shares where that is possible. A sequential choice over a few
+    hundred pairs, made on the driver."""
+    rng = random.Random(seed)
+    quota = each // len(methods)
+    chosen = queries[: min(len(queries), people * quota // 2)]
+    left = [(q, m) for m in methods for q in chosen for _ in range(2)]
+    rng.shuffle(left)
+    out = []
+    for i in range(people):
+        mine_: list[tuple[str, str]] = []
+        for strict in (True, False):
+            keep = []
+            for q, m in left:
+                fits = len(mine_) < each and all(q != x for x, _ in mine_) and (not strict or sum(y == m for _, y in mine_) < quota)
+                (mine_ if fits else keep).append((q, m))
+            left = keep
+        rng.shuffle(mine_)
+        out += [(f"P{i + 1:02d}", q, m) for q, m in mine_]
+    return out
