@@ -63,3 +63,29 @@ def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "
     found = pairs.select("q_ids", "q_flat", "q_groups", "c_ids", "c_flat", "c_groups").mapInArrow(product, "query_id bigint, corpus_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def block_group_best(queries: DataFrame, corpus: DataFrame, group: str, query_id: str = "query_id", query: str = "q", corpus_id: str = "vec_id", vector: str = "embedding", block: int = 1024) -> DataFrame:
+    """(query_id, group, score): the best score of every query in every group of corpus rows. Groups lie together in the
+    blocks, so what leaves a product is a row for each of its groups, not for each of its vectors."""
+    laid = corpus.select(corpus_id, vector, group).repartition(F.col(group)).sortWithinPartitions(group)
+    pairs = _blocks(queries, query_id, query, block, "q", None, False).crossJoin(_blocks(laid, corpus_id, vector, block, "c", group, False))
+
+    def product(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                q_ids, q, c_ids, c, c_g = (batch.column(i)[r].values.to_numpy(zero_copy_only=False) for i in range(5))
+                if not len(q_ids) or not len(c_ids):
+                    continue
+                x, y = q.reshape(len(q_ids), -1), c.reshape(len(c_ids), -1)
+                order = np.argsort(c_g, kind="stable")
+                y, names = y[order], c_g[order]
+                first = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1]]))
+                lengths = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :]
+                score = np.round(np.divide(x @ y.T, lengths, out=np.zeros_like(lengths), where=lengths > 0), DIGITS)
+                best = np.maximum.reduceat(score, first, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, len(first))), pa.array(np.tile(names[first], len(q_ids))), pa.array(best.ravel())], ["query_id", "code", "score"])
+
+    found = pairs.select("q_ids", "q_flat", "c_ids", "c_flat", "c_groups").mapInArrow(product, "query_id bigint, code bigint, score double")
+    names = corpus.select(group, F.xxhash64(group).alias("code")).distinct()
+    return found.groupBy("query_id", "code").agg(F.max("score").alias("score")).join(names, "code").select("query_id", group, "score")

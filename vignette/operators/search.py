@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .nearest import block_top_k, search
+from .nearest import block_group_best, block_top_k, search
 
 TOP_K, MOST_TOP_K = 10, 25
 POOL, MOST_POOL = 100, 300
@@ -70,9 +70,7 @@ def search_movies(queries: DataFrame, scenes: DataFrame, sentences: DataFrame, t
 
 def scene_pool(queries: DataFrame, scenes: DataFrame, top_k: int = 20) -> DataFrame:
     """Every movie's best scene over all scenes: exact, without a candidate cut."""
-    per_movie = []
-    hits = block_top_k(queries, scenes, 1 << 30).join(scenes.select(F.col("vec_id").alias("corpus_id"), "movie_id", "scene_id", "scene_index"), "corpus_id")
-    per_movie = hits.groupBy("query_id", "movie_id").agg(F.max("score").alias("score"))
+    per_movie = block_group_best(queries, scenes, "movie_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "movie_id")
     return per_movie.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k)
 

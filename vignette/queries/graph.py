@@ -95,11 +95,12 @@ def g21_pattern_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(compile_pattern(Pattern(["LOVES", "OWES"], entity_types=["person", "org", "gpe"], limit=50), _graph(spark, sf_dir)[1]))
 
 
-@query("SELECT movie_id, sum(CASE WHEN canonical_name = 'x' THEN 0 ELSE 1 END) AS entities FROM ents GROUP BY movie_id", ("v_relations", "v_entities"), _NORMAL)
+@query("SELECT movie_id, entity_id, CASE WHEN movie_id < '2024-01-11' THEN upper(canonical_name) ELSE canonical_name END AS canonical_name, entity_type FROM ents", ("v_relations", "v_entities"), _NORMAL)
 def g17_replace_movies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every movie replaced by itself leaves the graph as it was."""
+    """The movies of the first days are replaced by themselves in capitals; the others stay."""
     entities = _graph(spark, sf_dir)[0]
-    return graph.replace_movies(entities, entities).groupBy("movie_id").agg(F.count("*").alias("entities"))
+    fresh = entities.where("movie_id < '2024-01-11'").withColumn("canonical_name", F.upper("canonical_name"))
+    return graph.replace_movies(entities, fresh).select("movie_id", "entity_id", "canonical_name", "entity_type")
 
 
 @query("SELECT movie_id, from_name, label, to_name, event_id FROM (SELECT *, row_number() OVER (PARTITION BY movie_id, from_name, label, to_name ORDER BY event_id) AS n FROM v_relations) WHERE n = 1", ("v_relations",))
