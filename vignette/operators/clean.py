@@ -141,6 +141,7 @@ def cleaned(rows: DataFrame, names: str | None = None, can_regenerate: Column |
     """The whole job on (row_id, movie_id, movie_title, query, query_type): every row with its action and reasons."""
     told = decided(scored(repaired(rows), names=names), can_regenerate if generate else None)
     told = told.withColumn("reject_reason", F.when(F.col("action") == "reject", F.coalesce("structural_reason", F.lit("below_quality"))))
+    told = stored(told, "judged")  # else filters on the action are pushed down and repeat the whole repair in every predicate
     if generate:
         told = regenerated(told.drop("reject_reason"), generate, names)
     return deduplicated(told)

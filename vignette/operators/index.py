@@ -35,8 +35,8 @@ def ivf_search(built: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, p
 
 
 def int8_bound(vectors: DataFrame, quantile: float = 0.99, vector: str = "embedding") -> float:
-    """The absolute value that `quantile` of all components keep within."""
-    parts = vectors.select(F.explode(vector).alias("x"))
+    """The absolute value that `quantile` of all components of the unit vectors keep within."""
+    parts = vectors.select(F.explode(unit(F.col(vector))).alias("x"))
     return float(parts.agg(F.percentile_approx(F.abs("x"), quantile, 10_000).alias("b")).first()["b"] or 1.0)
 
 
@@ -47,6 +47,6 @@ def quantised(vector, bound: float):
 def int8_search(vectors: DataFrame, bound: float, query: Sequence[float], k: int, rescore: int = 4, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """The k nearest by exact cosine among the k * rescore nearest by quantised dot product."""
     wanted = F.array(*[F.lit(float(x)) for x in query])
-    coarse = dot(quantised(F.col(vector), bound), quantised(wanted, max(map(abs, query)) or 1.0))
+    coarse = dot(quantised(unit(F.col(vector)), bound), quantised(wanted, max(map(abs, query)) or 1.0))
     some = vectors.withColumn("coarse", coarse).orderBy(F.desc("coarse"), id_col).limit(k * rescore)
     return some.select(id_col, F.round(cosine(F.col(vector), wanted), DIGITS).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
