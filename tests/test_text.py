@@ -139,6 +139,7 @@ def test_replies(spark):
         ('{"queries": ["whole one", "whole \\"two\\"", "cut of', ["whole one", 'whole "two"']),
         ('{"paraphrases": ["a ] b", "c"', ["a ] b", "c"]),
         ("no list", []),
+        ('["' + "x" * 50_000 + '", "cut', ["x" * 50_000]),
     ]:
         assert one(spark, repair.string_list(F.col("a")), a=raw) == want, raw
     assert one(spark, repair.string_list(F.col("a"), "mine"), a=json.dumps({"queries": ["q"], "mine": ["m"]})) == ["m"]

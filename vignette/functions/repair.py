@@ -64,12 +64,13 @@ def salvaged_json(text: Column) -> Column:
 
 
 def salvaged_list(raw: Column, keys: tuple[str, ...] = ("queries", "paraphrases", "items", "results")) -> Column:
-    """The whole strings of a JSON array cut off somewhere: of the first of the keys that has one, or of a bare array."""
+    """The whole strings of a JSON array cut off somewhere: of the first of the keys that has one, or of a bare array.
+    The patterns are possessive: a backtracking group would recurse once a character."""
     s = strip_fences(raw)
     starts = [F.when(s.rlike(rf'(?i)"{k}"\s*:\s*\['), F.regexp_extract(s, rf'(?is)"{k}"\s*:\s*\[(.*)$', 1)) for k in keys]
     body = F.coalesce(*starts, F.when(s.startswith("["), F.substring(s, 2, 2**31 - 1)))
-    upto = F.regexp_extract(body, r'(?s)^((?:[^"\]]|"(?:[^"\\]|\\.)*")*)', 1)
-    found = F.regexp_extract_all(upto, F.lit(r'(?s)"((?:[^"\\]|\\.)*)"'), 1)
+    upto = F.regexp_extract(body, r'(?s)^((?:[^"\]]++|"[^"\\]*+(?:\\.[^"\\]*+)*+")*+)', 1)
+    found = F.regexp_extract_all(upto, F.lit(r'(?s)"([^"\\]*+(?:\\.[^"\\]*+)*+)"'), 1)
     plain = F.transform(found, lambda x: strip(F.regexp_replace(x, r"(?s)\\(.)", "$1")))
     return F.coalesce(F.filter(plain, lambda x: x != ""), F.array().cast("array<string>"))
 

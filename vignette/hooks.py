@@ -91,5 +91,5 @@ def translate(question: str, limit: int, translator: Callable[[str, int], str] |
 
 def capitalised_names(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, text, label, ord): runs of capitalised words as persons, each once, in order of first sight."""
-    found = texts.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"(?U)\b([A-Z][a-z]+(?: [A-Z][a-z]+)*)\b"), 1)).alias("ord", "text"))
+    found = texts.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(r"(?U)\b([A-Z][a-z]+(?: [A-Z][a-z]+)*+)\b"), 1)).alias("ord", "text"))
     return found.groupBy(key, "text").agg(F.min("ord").alias("ord")).select(key, "text", F.lit("PERSON").alias("label"), "ord")

@@ -156,3 +156,9 @@ def assignments(queries: list[str], methods: list[str], people: int, each: int,
         rng.shuffle(mine_)
         out += [(f"P{i + 1:02d}", q, m) for q, m in mine_]
     return out
+
+
+def with_vectors(chunks: DataFrame, vectors: DataFrame, key: list[str], vector: str = "embedding") -> DataFrame:
+    """Chunks joined with their vectors by key; one without a vector fails the query."""
+    both = chunks.join(vectors.select(*key, vector), key, "left")
+    return both.withColumn(vector, F.when(F.col(vector).isNotNull(), F.col(vector)).otherwise(F.raise_error(F.lit("a chunk has no vector"))))

@@ -43,6 +43,17 @@ def g14_dropped_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _graph(spark, sf_dir)[2].select("movie_id", "event_id", "reason")
 
 
+@query("SELECT movie_id, canonical_name, arg_max(entity_id, entity_type) AS entity_id, max(entity_type) AS entity_type FROM ents GROUP BY movie_id, canonical_name", ("v_relations", "v_entities"), _NORMAL)
+def g13_name_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.name_index(_graph(spark, sf_dir)[0]).select("movie_id", "canonical_name", "entity_id", "entity_type")
+
+
+@query("SELECT movie_id, replace(movie_id, '-', ' ') AS title, count(*) AS entities FROM ents GROUP BY movie_id", ("v_relations", "v_entities"), _NORMAL)
+def g16_movie_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    movies = _graph(spark, sf_dir)[0].groupBy("movie_id").agg(F.count("*").alias("entities"))
+    return graph.titled(movies).select("movie_id", "title", "entities")
+
+
 @query("SELECT (SELECT count(DISTINCT movie_id) FROM ents) AS movies, (SELECT count(*) FROM ents) AS entities, (SELECT count(*) FROM rels) AS relations, (SELECT count(*) FROM ents) + (SELECT count(*) FROM rels) AS edges", ("v_relations", "v_entities"), _NORMAL)
 def g19_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, kept, _ = _graph(spark, sf_dir)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import hooks
+from ..functions import repair
 from ..operators import mine
 from ..sources import views
 from .registry import cosine_sql, query
@@ -95,3 +97,48 @@ def j13_held_out_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id, source, text FROM documents WHERE contains(lower(text), 'the') AND n_chars >= 1000 ORDER BY n_chars DESC, doc_id LIMIT 25 OFFSET 25")
 def ui1_data_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.grid(views.table(spark, sf_dir, "documents").where("n_chars >= 1000"), contains={"text": "the"}, order=[F.desc("n_chars"), F.col("doc_id")], page=1, size=25).select("doc_id", "source", "text")
+
+
+_HARD = f"hard AS (SELECT query_id, vec_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (SELECT q.query_id, s.vec_id, {cosine_sql('q.q', 's.embedding')} AS score FROM v_query_vecs q JOIN v_scenes s ON q.target_movie <> s.movie_id)) WHERE rank <= 3)"
+
+
+@query("SELECT query_id, max(CASE WHEN rank = 1 THEN vec_id END) AS negative_0, max(CASE WHEN rank = 2 THEN vec_id END) AS negative_1, max(CASE WHEN rank = 3 THEN vec_id END) AS negative_2 FROM hard GROUP BY query_id", ("v_query_vecs", "v_scenes"), _HARD)
+def s13_training_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hard = mine.hard_negatives(_asked(spark, sf_dir), views.scenes(spark, sf_dir), 3)
+    lists = hard.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("l"))
+    return mine.training_columns(lists.select("query_id", F.transform("l", lambda x: x["vec_id"]).alias("negatives")))
+
+
+@query("SELECT q.query_id, count(*) AS relevant, min(s.scene_id) AS first_scene FROM v_query_vecs q JOIN v_scenes s ON q.target_movie = s.movie_id GROUP BY q.query_id", ("v_query_vecs", "v_scenes"))
+def j20_relevant_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All scenes of a query's movie; scenes are collected once a movie, not once a query."""
+    of = views.scenes(spark, sf_dir).groupBy("movie_id").agg(F.sort_array(F.collect_set("scene_id")).alias("scenes"))
+    return _asked(spark, sf_dir).join(of, "movie_id").select("query_id", F.size("scenes").cast("bigint").alias("relevant"), F.element_at("scenes", 1).alias("first_scene"))
+
+
+@query("SELECT s.scene_id, s.movie_id, CAST(len(e.embedding) AS INTEGER) AS dimension, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first_part FROM v_scenes s JOIN embeddings e USING (vec_id)", ("v_scenes",))
+def p9_scene_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and their vectors meet by key; a chunk without a vector fails the query."""
+    e = views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    made = mine.with_vectors(views.scenes(spark, sf_dir).drop("embedding"), e, ["vec_id"])
+    return made.select("scene_id", "movie_id", F.size("embedding").alias("dimension"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first_part"))
+
+
+@query()
+def f13_reply_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as a model's reply, whole for even turns and cut off for odd ones."""
+    quoted = F.concat(F.lit('"'), F.regexp_replace("text", r'["\\\n\r\t]', " "), F.lit('"'))
+    reply = F.concat(F.lit('{"queries": ['), quoted, F.lit(", "), quoted, F.when(F.col("turn") % 2 == 0, "]}").otherwise(', "cut'))
+    c = views.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", repair.string_list(reply).alias("items"))
+
+
+@query()
+def f14_scene_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = views.raw_queries(spark, sf_dir)
+    return r.select("row_id", repair.scene_summary(F.col("query")).alias("summary"))
+
+
+@query()
+def g1_capitalised_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hooks.capitalised_names(views.table(spark, sf_dir, "documents"), "doc_id")
