@@ -248,7 +248,11 @@ def extract(html: str, weights: np.ndarray) -> tuple[str, int, int]:
 
 
 def fit(pages: DataFrame, most: int = SAMPLE_PAGES) -> np.ndarray:
-    rows = pages.select(F.col("html").cast("string").alias("html")).where("html <> ''").orderBy(F.xxhash64("html"), "html").limit(most).collect()
+    """Learns from the `most` pages that come first by a hash. Hashes alone find the bound, so that no task sends more
+    pages than it has of these."""
+    rows = pages.select(F.col("html").cast("string").alias("html")).where("html <> ''").withColumn("hash", F.xxhash64("html"))
+    bound = rows.select("hash").orderBy("hash").limit(most).agg(F.max("hash")).first()[0]
+    rows = rows.where(F.col("hash") <= (0 if bound is None else bound)).orderBy("hash", "html").limit(most).collect()
     return train([r["html"] for r in rows])
 
 
