@@ -158,7 +158,9 @@ def probes_needed(vectors: DataFrame, n: int, dimension: int, parts: list[int],
     everything = int(np.prod([2 * p for p in parts])) if parts else 1
     if everything == 1:
         return 1
-    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+    hashed = vectors.withColumn("hash", F.xxhash64("id"))
+    bound = hashed.select("hash").orderBy("hash").limit(SAMPLE).agg(F.max("hash")).first()[0]  # no task sends vectors that are not needed
+    sample = hashed.where(F.col("hash") <= bound).orderBy("hash", "id").limit(SAMPLE).collect()
     ids, q = np.array([r["id"] for r in sample], np.int64), np.array([r["v"] for r in sample], np.float32)
     near = exact(vectors, ids, q, dimension, k)
     wanted = sorted({m for v in near.values() for m in v})
