@@ -4,7 +4,8 @@ Shards of about SHARD documents, chosen by a hash of doc_id and text length, are
 work is one small shuffle of (doc_id, length) and scales with the number of shards; what a shard loses is at most
 its last bins. In a shard a bin is filled greedily with the longest documents that fit; then its smallest document
 gives way to the two unpacked documents that together fit the widened gap most tightly, if they fill it better. A
-document longer than the capacity is cut into full bins and a rest, which is packed like a document.
+document longer than the capacity is cut into full bins and a rest, which is packed like a document. Lengths and
+starts count the token ids that operator 3 gives the whole text.
 
 Cases: a null or empty text has length 0 and is left out; a null doc_id is packed and listed as null; repeated rows
 are packed each; ties go to the smaller doc_id (nulls last), then the smaller start; other columns are not looked at.
@@ -20,10 +21,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import stored
 
 CAPACITY = 4096  # tokens of a training sequence
-BYTES_A_TOKEN = 4  # a document's length is its UTF-8 bytes / BYTES_A_TOKEN, rounded up
 SHARD = 20_000
 
 BINS = "bin_id bigint, doc_ids array<bigint>, starts array<bigint>, lengths array<int>, used int"
@@ -93,8 +94,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, total) of the documents that have any text; total in tokens."""
-    total = F.ceil(F.octet_length(F.col(text_col).cast("string")) / F.lit(BYTES_A_TOKEN)).cast("bigint")
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), total.alias("total")).where("total > 0")
+    return bpe.counts(docs, id_col=id_col, text_col=text_col).where("total > 0")
 
 
 def pack_shard(frame: pd.DataFrame, capacity: int, shard: int) -> pd.DataFrame:
