@@ -10,7 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, dot, unit
-from .nearest import DIGITS
+from .nearest import DIGITS, block_top_k
+
+SAMPLE = 512  # queries whose exact neighbours choose the number of probes
+TARGET = 0.95  # part of these neighbours that must lie in the probed lists
 
 
 def ivf(vectors: DataFrame, lists: int, id_col: str = "vec_id", vector: str = "embedding", seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -22,13 +25,36 @@ def ivf(vectors: DataFrame, lists: int, id_col: str = "vec_id", vector: str = "e
     return placed, centroids
 
 
+def _nearest_lists(queries: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(query_id, q, list, n): every list at its place n in the query's order of probing."""
+    near = Window.partitionBy("query_id").orderBy(F.desc("s"), "list")
+    return queries.crossJoin(F.broadcast(centroids)).withColumn("s", dot(F.col("q"), F.col("c"))).withColumn("n", F.row_number().over(near)).select("query_id", "q", "list", "n")
+
+
+def probes_needed(built: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, target: float = TARGET) -> int:
+    """The smallest number of probes, up to all lists, that catches `target` of the exact neighbours of a sample of the
+    queries. Neighbours of score 1, such as the query itself, are hits of any layout and do not count. Ids are numbers."""
+    placed, centroids = built
+    hashed = queries.select("query_id", unit(F.col("q")).alias("q"), F.xxhash64("query_id").alias("hash"))
+    rows = hashed.orderBy("hash", "query_id").limit(SAMPLE).select("query_id", "q").collect()
+    sample = placed.sparkSession.createDataFrame(rows, hashed.select("query_id", "q").schema)
+    near = block_top_k(sample, placed, k, corpus_id="id", vector="v").where("score < 1").selectExpr("query_id", "corpus_id AS id")
+    wanted = near.join(placed.select("id", "list"), "id").join(_nearest_lists(sample, centroids).drop("q"), ["query_id", "list"])
+    caught = sorted((r["n"], r["count"]) for r in wanted.groupBy("n").count().collect())
+    total, seen = sum(c for _, c in caught), 0
+    for n, c in caught:
+        seen += c
+        if seen >= target * total:
+            return n
+    return 1
+
+
 def ivf_search(built: tuple[DataFrame, DataFrame], queries: DataFrame, k: int, probes: int) -> DataFrame:
     """(query_id, id, score, rank). Queries meet the centroids, of which there are few, then join their lists on the
     list number: an equi-join, no theta join with the corpus."""
     placed, centroids = built
     q = queries.select("query_id", unit(F.col("q")).alias("q"))
-    near = Window.partitionBy("query_id").orderBy(F.desc("s"), "list")
-    chosen = q.crossJoin(F.broadcast(centroids)).withColumn("s", dot(F.col("q"), F.col("c"))).withColumn("n", F.row_number().over(near)).where(F.col("n") <= probes).select("query_id", "q", "list")
+    chosen = _nearest_lists(q, centroids).where(F.col("n") <= probes).select("query_id", "q", "list")
     scored = chosen.join(placed, "list").select("query_id", "id", F.round(dot(F.col("q"), F.col("v")), DIGITS).alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)

@@ -108,7 +108,8 @@ def v19_checked_dimension(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def v17_ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = index.ivf(views.table(spark, sf_dir, "embeddings"), lists=8)
-    return index.ivf_search(built, views.query_vectors(spark, sf_dir), k=10, probes=4)
+    q = views.query_vectors(spark, sf_dir)
+    return index.ivf_search(built, q, k=10, probes=index.probes_needed(built, q, 10))
 
 
 @query()
