@@ -9,7 +9,9 @@ are (article and main against nav, header, footer, aside and advertisements); it
 their class names, so that it serves pages without them.
 
 Cases: null or empty html gives null or empty text and no blocks; text without any element is one block; unclosed and
-crossing elements are closed by their ancestors; ties of the cut go to boilerplate; a page of any length is read whole;
+crossing elements are closed by their ancestors, noscript, svg and template too; a head without its end tag ends at
+the body, the first text or the first element that is not metadata; script, style and comments without an end reach to
+the end of the page, as in HTML; ties of the cut go to boilerplate; a page of any length is read whole;
 without telling elements in the sample a fixed prior replaces the classifier; other columns are not looked at.
 """
 
@@ -30,10 +32,13 @@ SAMPLE_PAGES = 500
 ADJACENT = 1.0  # capacity between blocks that follow each other under one parent; less with distance in the DOM
 SIBLING = 0.6  # between a block and the one before it under the same parent, other blocks between them
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|head)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<title\b[^>]*>((?:(?!</?head\b|<body\b|<title\b).)*?)</title\s*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|([^<]+|<)", re.S | re.I)
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*["']?([^"'>]*)""", re.I)
 _BREAKS = frozenset("address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html iframe legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())  # all others end the head
+_HIDDEN = frozenset(["noscript", "svg", "template"])
+_LEAVES_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta ol p pre ruby s small span strong sub sup table u ul var".split())
 _CONTENT, _BOILER = frozenset(["article", "main"]), frozenset(["nav", "footer", "aside", "header"])
 _AD = re.compile(r"\b(?:ads?|advert\w*|promo\w*|sponsor\w*|banner|sidebar|cookie\w*|breadcrumb\w*|menu|navigation)\b", re.I)
 FEATURES = 14
@@ -53,6 +58,9 @@ def blocks(html: str) -> list[Block]:
     stack: list[tuple[str, int, int]] = []  # block elements: (tag, number, hint)
     text: list[str] = []
     linked = links = serial = 0
+    head = titled = False  # in the head; after a title in it that is not closed
+    inner: list[str] = []  # open elements from a hidden one on
+    inline: dict[str, int] = {}  # open elements that are not in the stack
 
     def flush() -> None:
         nonlocal linked
@@ -65,24 +73,54 @@ def blocks(html: str) -> list[Block]:
         linked = 0
 
     for m in _TOKEN.finditer(html):
-        words = m[5]
+        words = m[2] if m[2] is not None else m[6]
         if words is not None:
+            if head and (m[2] is not None or titled or not words.strip()) or inner:
+                continue
+            head = False
             text.append(words)
             if links:
                 linked += len(words.strip())
             continue
-        tag = m[3]
+        tag = m[4]
         if tag is None:
             continue
         tag = tag.lower()
+        if inner:
+            if m[3]:
+                if tag in inner:
+                    while inner.pop() != tag:
+                        pass
+                    continue
+                if not (inline.get(tag) or head and tag == "head" or any(s[0] == tag for s in stack)):
+                    continue
+                inner.clear()
+            elif head and tag == "body" or tag in _LEAVES_SVG and inner[0] == "svg" and not {"foreignobject", "desc", "title"}.intersection(inner):
+                inner.clear()
+            else:
+                if tag not in _VOID and not m[5].endswith("/"):
+                    inner.append(tag)
+                continue
+        if tag == "head":
+            head, titled = not m[3], False
+            continue
+        if head:
+            titled = tag == "title" and not m[3]
+            head = tag in _HEAD or bool(m[3]) and tag not in ("body", "html", "br")
+        if tag in _HIDDEN and not m[3]:
+            if not (tag == "svg" and m[5].endswith("/")):
+                inner.append(tag)
+            continue
         if tag == "a":
-            links = max(0, links + (-1 if m[2] else 1))
+            links = max(0, links + (-1 if m[3] else 1))
         if tag not in _BREAKS:
+            if tag not in _VOID:
+                inline[tag] = max(0, inline.get(tag, 0) + (-1 if m[3] else 1))
             continue
         flush()
         if tag in _VOID:
             continue
-        if m[2]:
+        if m[3]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
                     del stack[k:]
@@ -96,7 +134,7 @@ def blocks(html: str) -> list[Block]:
             hint = 1
         elif tag in _BOILER:
             hint = -1
-        elif m[4] and (named := _CLASS.findall(m[4])) and _AD.search(" ".join(named)):
+        elif m[5] and (named := _CLASS.findall(m[5])) and _AD.search(" ".join(named)):
             hint = -1
         serial += 1
         stack.append((tag, serial, hint))
