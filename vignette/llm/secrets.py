@@ -1,12 +1,14 @@
 """Operator 4: secret scan. A character convolutional network in numpy judges every candidate in its context.
 
-A candidate is a run of MIN_RUN or more characters of [A-Za-z0-9_+/-] with a digit, or one that a ':' or '=' leads in;
-there is no other filter, the network decides. It sees windows of the candidate's characters (as many overlapping
+A candidate is a run of MIN_RUN or more characters of [A-Za-z0-9_+/-] with a digit, one of LONG_RUN or more without, or
+one that a ':' or '=' leads in; and the whole non-blank or quoted run, of any length and any characters, that a ':', a
+'=' or a credential word leads in. There is no other filter, the network decides. Where such runs lie in one another and
+several are secrets, the widest is the finding. The network sees windows of the candidate's characters (as many overlapping
 windows as a long candidate needs) with LEFT and RIGHT characters of context and a marker of what belongs to the
 candidate. It is trained here, on findings with known labels that a seeded generator writes: credentials of many
 issuers and passwords against card numbers, addresses, checksums, commit ids, uuids, dates, file names and the like.
-Scores are calibrated by Platt scaling on held-out findings; the threshold is the largest that keeps RECALL of the
-held-out secrets.
+Scores are calibrated by Platt scaling on held-out findings, which are found by candidates() like any other text; the
+threshold is the largest that keeps RECALL of the held-out secrets, those counted that no candidate covers.
 
 Cases: null and empty texts have no findings; a candidate that crosses nothing but its own text is seen whole
 however long; findings of repeated rows repeat; ties cannot occur; other columns are not looked at.
@@ -16,6 +18,7 @@ from __future__ import annotations
 
 import functools
 import random
+import re
 import string
 
 import numpy as np
@@ -26,6 +29,7 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, slices, utf8
 
 MIN_RUN = 8
+LONG_RUN = 16
 LEFT, BODY, RIGHT = 24, 48, 8
 STRIDE = 32
 WIDTH = LEFT + BODY + RIGHT
@@ -39,8 +43,35 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 
 
+_WORDS = rb"(?<![a-zA-Z])(?:pass(?:word|wd|phrase|code|wort)?|pwd|kennwort|secret|token|credentials?|(?:api|access|secret|private|encryption|session)[_-]?key|bearer)(?![a-zA-Z])"
+_LED = re.compile(rb"(?:[:=]+>?[^\S\n]*|" + _WORDS + rb"[\"']?(?:\s+(?:is|was|ist|war|est|es|era)\b)?[\s:=>]+)(?:\"([^\"\s]+)|'([^'\s]+)|([^\s\"':=]\S*))", re.I)
+
+
+def led_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the non-blank or quoted runs that a ':', a '=' or a credential word leads in."""
+    data, out = raw.tobytes(), []
+    for i in range(len(offsets) - 1):
+        for m in _LED.finditer(data[offsets[i] : offsets[i + 1]]):
+            a, b = m.span(m.lastindex)
+            out.append((a + offsets[i], b + offsets[i], i))
+    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+
+
 def candidates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) byte spans of all candidates; vectorised over the whole buffer."""
+    """(start, end, row) byte spans of all candidates, each once, by start, then the wider first."""
+    both = np.concatenate([np.stack(runs(raw, offsets)), np.stack(led_runs(raw, offsets))], axis=1)
+    start, minus, row = np.unique(both * np.array([[1], [-1], [1]]), axis=1)
+    return start, -minus, row
+
+
+def outermost(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Which spans, ordered as candidates() does, begin after all before them have ended."""
+    reach = np.maximum.accumulate(np.concatenate([[0], end[:-1]])) if len(end) else end
+    return start >= reach
+
+
+def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the candidates among runs of the class; vectorised over the whole buffer."""
     if not len(raw):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     inside = _CLASS[raw]
@@ -65,7 +96,7 @@ def candidates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
         led |= ok & ((before == 58) | (before == 61)) & ~led
         blank = ok & ((before == 32) | (before == 34) | (before == 39))
         first = np.where(blank, first, start)  # stop where something else stands between
-    take = (digits[end] > digits[start]) | led
+    take = (digits[end] > digits[start]) | led | (end - start >= LONG_RUN)
     return start[take], end[take], row[take]
 
 
@@ -208,7 +239,14 @@ def labelled(n: int, seed: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np
         return form.format(k=key, v=value), value
 
     def secret() -> tuple[str, str]:
-        kind = g.randrange(14)
+        kind = g.randrange(20)
+        if kind >= 14:
+            marks = "!#$%&*@^?.,;~"
+            plain = "".join(g.choice(syllables).replace("é", "e").replace("ä", "a").replace("ñ", "n") for _ in range(g.randint(2, 4)))
+            swapped = "".join(g.choice({"o": "0", "e": "3", "i": "1!", "a": "@4", "s": "$5", "t": "7"}.get(c, c)) if g.random() < 0.5 else c for c in plain) + g.choice(marks) + some(string.digits, 1, 3)
+            v = g.choice([swapped, swapped[: g.randint(4, 6)] + g.choice(marks) + swapped[6:], plain + some(string.ascii_lowercase, 6, 8), some(alnum, 6, 7), some(alnum + marks, 6, 16), some(string.ascii_letters, 6, 16), some(alnum, 2, 5) + g.choice(marks) + some(alnum, 2, 5) + g.choice(marks) + some(alnum, 1, 4)])
+            key = g.choice(["password", "passwd", "pwd", "pass", "PASSWORD", "db_password", "passphrase", "secret", "token"])
+            return (g.choice(["--{k} {v}", "{k} is {v}", "the {k} was {v}", "{k} {v}"]).format(k=key, v=v), v) if g.random() < 0.5 else assign(key, v)
         if kind in (0, 12, 13):
             v = g.choice(["AKIA", "ASIA", "AROA"]) + some(upper32, 16)
             return (v, v) if g.random() < 0.8 else assign(g.choice(["aws_access_key_id", "key", "id"]), v)
@@ -229,7 +267,19 @@ def labelled(n: int, seed: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np
         return assign(name(), some(b64, 24, 64))
 
     def harmless() -> tuple[str, str]:
-        kind = g.choice([*range(20), 0, 0, 2, 2, 4, 4])
+        kind = g.choice([*range(24), 0, 0, 2, 2, 4, 4])
+        if kind == 20:
+            v = "".join(g.choice(syllables) for _ in range(g.randint(1, 3)))
+            return g.choice([f"{word()}: {v}", f"note: {v}", f"title = {v}", f"from: {v}"]), v
+        if kind == 21:
+            v = g.choice(["required", "the", "too", "not", "that", "of", "and", "garden", "for", "wrong", "field", "to", "reset", "invalid", "a", "in", "expired", "lost"])
+            return f"{g.choice(['password', 'token', 'secret', 'pass', 'the password is', 'the secret was', 'the token is', 'credentials'])} {v}", v
+        if kind == 22:
+            v = some(string.digits, 1, 4)
+            return g.choice([f"{some(string.digits, 1, 2)}:{v}", f"x = {v}", f"page: {v}", f"n={v}", f"{word()}: {v}"]), v
+        if kind == 23:
+            v = g.choice(["", "-", "_", "/"]).join(g.choice(syllables).replace("é", "e").replace("ä", "a").replace("ñ", "n") for _ in range(g.randint(6, 10)))
+            return v, v
         if kind == 0:
             v = some(string.digits, 16)
             return v, v
@@ -282,8 +332,6 @@ def labelled(n: int, seed: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np
     while len(texts) < n:
         bad = g.random() < 0.45
         shown, value = secret() if bad else harmless()
-        if len(value) < MIN_RUN:
-            continue
         before, after = prose(g.randint(0, 6)), prose(g.randint(0, 4))
         lead = before + g.choice([" ", " ", "\n", "; ", "("]) if before else ""
         tail = g.choice(["", " ", " ", "\n", "!! ", "### ", "%%% ", ". ", ", "]) + after
@@ -295,32 +343,42 @@ def labelled(n: int, seed: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np
     return texts, np.array(start), np.array(end), np.array(label)
 
 
-def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, marks, owner; of each candidate its text and whether it covers the finding: 1, touches it: 0, else -1; label
+    of each text), as candidates() finds them."""
     texts, start, end, label = labelled(n, seed)
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     raw = np.frombuffer(b"".join(texts), np.uint8)
-    codes, marks, owner = windows(raw, offsets, start + offsets[:-1], end + offsets[:-1], np.arange(len(texts)))
-    return codes, marks, owner, label
+    a, b, row = candidates(raw, offsets)
+    codes, marks, owner = windows(raw, offsets, a, b, row)
+    first, last = (start + offsets[:-1])[row], (end + offsets[:-1])[row]
+    return codes, marks, owner, row, np.where((a <= first) & (b >= last), 1, np.where((a < last) & (b > first), 0, -1)), label
 
 
 @functools.lru_cache(maxsize=2)
 def model(examples: int = EXAMPLES, recall: float = RECALL) -> Network:
     """Trained once a driver process, deterministically; a few tens of KB that go along with the tasks."""
     net = Network()
-    codes, marks, owner, label = _examples(examples, 1)
-    net.train(codes, marks, label[owner].astype(np.float32))
-    codes, marks, owner, label = _examples(max(500, examples // 3), 2)
+    codes, marks, owner, row, covers, label = _examples(examples, 1)
+    known = ((covers != 0) | (label[row] == 0))[owner]
+    net.train(codes[known], marks[known], ((covers == 1) & (label[row] == 1))[owner][known].astype(np.float32))
+    codes, marks, owner, row, covers, label = _examples(max(500, examples // 3), 2)
+    found = np.concatenate([net.forward(codes[a : a + 2048], marks[a : a + 2048]) for a in range(0, len(codes), 2048)])
     logit = np.full(len(label), -30.0)
-    np.maximum.at(logit, owner, np.concatenate([net.forward(codes[a : a + 2048], marks[a : a + 2048]) for a in range(0, len(codes), 2048)]))
+    own = covers[owner] == 1
+    np.maximum.at(logit, row[owner[own]], found[own])
     net.calibrate(logit, label, recall)
     return net
 
 
 def scan(raw: np.ndarray, offsets: np.ndarray, net: Network) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row, probability, flagged) of every candidate, in order."""
+    """(start, end, row, probability, flagged) of every candidate, in order; flagged spans do not overlap."""
     start, end, row = candidates(raw, offsets)
     p = net.scores(raw, offsets, start, end, row)
-    return start, end, row, p, p >= net.threshold
+    bad = np.flatnonzero(p >= net.threshold)
+    flagged = np.zeros(len(start), bool)
+    flagged[bad[outermost(start[bad], end[bad])]] = True
+    return start, end, row, p, flagged
 
 
 FINDINGS = "array<struct<at:int,length:int,probability:double>>"
