@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from compare import SMALL
 from pyspark.sql import functions as F
 
@@ -89,3 +90,47 @@ def test_fingerprints_do_not_depend_on_batches():
     whole = simhash.fingerprints(pa.array(texts, pa.string()))[0]
     parts = np.concatenate([simhash.fingerprints(pa.array([t], pa.string()))[0] for t in texts])
     assert (whole == parts).all() and (simhash.fingerprints(pa.array(texts, pa.string()), most=64)[0] == whole).all()
+
+
+A, B, C = ("the quick harbour ship came home with seven barrels of salt and the crew sang all night", "zwei alte Wärter zählten die Lampen im Turm und schrieben jede Nacht ihre Namen auf", "por la mañana el mercado se llenó de gente que compraba pan fresco y flores amarillas")
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, A), (5, A), (5, B), (7, C)],
+    [(1, A), (2, A), (1, B), (3, B), (7, C)],
+    [(1, A), (1, B), (2, B), (2, C), (3, C), (3, A)],
+    [(4, A), (4, A), (4, B), (4, None), (4, ""), (None, A), (None, None)],
+    [(1, A), (1, A + " again"), (1, B), (9, A)],
+])
+def test_only_the_copied_row_of_a_repeated_id_goes(documents, rows):
+    """Against brute force by row: every text that leads its group or stands alone stays exactly once per doc_id."""
+    told = simhash.brute_force_members(rows)
+    df = documents([(i, t, "en") for i, t in rows], clashing=True)
+    got = sorted(((r["doc_id"], r["text"]) for r in simhash.deduplicate(df).collect()), key=str)
+    want, seen = [], set()
+    for (i, t), m in zip(rows, told):
+        if m and (not m[1] or (i, t) in seen):
+            continue
+        want.append((i, t))
+        if m:
+            seen.add((i, t))
+    assert got == sorted(want, key=str)
+    assert {t for _, t in got} == {t for _, t in rows if t != A + " again"} | {t for _, t in got if t == A + " again"}
+    groups = sorted(((r["doc_id"], r["group_id"], r["is_kept"]) for r in simhash.groups(df).collect()))
+    size: dict = {}
+    for (i, _), m in zip(rows, told):
+        if m:
+            size.setdefault(m[0], []).append((i, *m))
+    assert set(groups) <= {x for v in size.values() for x in v}
+
+
+def test_stored_tables_go_after_use(spark, documents):
+    import os
+
+    from vignette.llm import common
+
+    folder = common.shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    before = set(os.listdir(folder))
+    with common.scratch(spark):
+        assert simhash.deduplicate(documents([(1, A, "en"), (2, A, "en")])).count() == 1
+    assert set(os.listdir(folder)) == before

@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, slices, span_hashes, utf8
+from .common import slices, span_hashes, utf8
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 CACHE = 1_000_000  # distinct slices that a worker remembers
@@ -390,7 +390,6 @@ def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text
                 lists = [pa.compute.if_else(gone, null, x) if batch.column(1).null_count else x for x in lists]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists, pa.array(same)], ["doc_id", "ids", "offsets", "roundtrip"])
 
-    arrow_batches(docs.sparkSession, 1000)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, ENCODED)
 
@@ -406,7 +405,6 @@ def counts(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text
                 _, bounds = words.encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds), pa.int64())], ["doc_id", "total"])
 
-    arrow_batches(docs.sparkSession, 1000)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, total bigint")
 

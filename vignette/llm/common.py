@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
-import os
 import tempfile
 import uuid
 
@@ -32,17 +32,38 @@ def shared_dir(spark) -> str:
     return context.getCheckpointDir()
 
 
+_OPEN: list[list[str]] = []  # the paths that each open scratch() has seen
+
+
 def stored(df, name: str):
-    """df written as Parquet under the shared folder and read back: cuts lineage and survives lost executors."""
+    """df written as Parquet under the shared folder and read back: cuts lineage and survives lost executors. Inside
+    scratch() it is deleted at the end, else it stays, as results may still read it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def arrow_batches(spark, rows: int = 2000) -> None:
-    """Bounds the rows of one Arrow batch, so that a batch of long documents stays within a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    if _OPEN:
+        _OPEN[-1].append(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def remove(spark, *paths: str) -> None:
+    """Deletes folders through the Hadoop file system that holds them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark):
+    """What stored() writes inside is deleted at the end; for callers that have written the result by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        remove(spark, *_OPEN.pop())
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, utf8
+from .common import utf8
 from .quality import compressor, judge
 
 LEVEL = 5
@@ -103,7 +103,6 @@ def identify(text: Column, dictionaries: dict[str, bytes]) -> Column:
 def languages(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang_found, margin, keep) of every row; the dictionaries, some 64 KB a language, go along with the tasks."""
     dictionaries = fit(docs, text_col, lang_col) if dictionaries is None else dictionaries
-    arrow_batches(docs.sparkSession)
     found = docs.select(F.col(id_col).alias("doc_id"), identify(F.col(text_col), dictionaries).alias("v"))
     return found.select("doc_id", F.col("v.lang").alias("lang_found"), "v.margin", F.col("v.lang").isNotNull().alias("keep"))
 
@@ -111,5 +110,4 @@ def languages(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, id_
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs whose language is clear, all columns unchanged."""
     dictionaries = fit(docs, text_col, lang_col) if dictionaries is None else dictionaries
-    arrow_batches(docs.sparkSession)
     return docs.where(identify(F.col(text_col), dictionaries).getField("lang").isNotNull())

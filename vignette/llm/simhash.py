@@ -10,8 +10,13 @@ shuffle, so that a list fits a task's memory whatever the number of fingerprints
 where the list arrives. A list returns a spanning forest of its pairs, not all pairs, so a group of c copies costs
 c rows and not c * c; groups are the connected components of all forests.
 
-Cases: a null doc_id takes no part (the row stays); a null text or one without any word belongs to no group;
-rows that repeat a doc_id with the same text count as copies; extra columns are ignored.
+What is grouped, kept and removed is the pair of doc_id and fingerprint, never the doc_id alone: a doc_id that comes
+with several texts may be a copy with one of them and unique with another, and only the copied row goes.
+
+Cases: a null doc_id takes no part (the row stays); a null text or one without any word belongs to no group, and
+stays whatever else its doc_id holds; rows that repeat a doc_id with the same text (or with near copies of equal
+fingerprint) count as copies, and the one with the least text stays; a group's leader is the smallest doc_id, of equal
+ones the smaller fingerprint; a very long text is read whole; an empty table has no groups; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, arrow_batches, mix, slices, span_hashes, stored, utf8, words
+from .common import GOLD, mix, remove, slices, span_hashes, stored, utf8, words
 
 BITS = 128
 MAX_DISTANCE = 24
@@ -203,7 +208,6 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             signed = fp.view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(signed[keep, 0]), pa.array(signed[keep, 1])], ["doc_id", "hi", "lo"])
 
-    arrow_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, _PRINTED)
 
@@ -267,45 +271,79 @@ def components(pairs: DataFrame) -> DataFrame:
         down = large.where("u > v")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(least.withColumnRenamed("m", "v")).distinct()
-        now = stored(small, "stars")
+        before, now = now, stored(small, "stars")
+        remove(now.sparkSession, before.stored_at)
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == was:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         was = state
 
 
+def members(docs: DataFrame, distance: int = MAX_DISTANCE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, hi, lo, group_id, is_kept) of all rows whose text has a copy; rows that repeat both doc_id and
+    fingerprint are alike. Nodes of the graph are fingerprints, numbered once in a stored table."""
+    printed = stored(fingerprint_table(docs, id_col, text_col), "prints")
+    one = printed.groupBy("hi", "lo").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+    nodes = stored(one.select(F.monotonically_increasing_id().alias("node"), "hi", "lo", "first", "rows"), "nodes")
+    found = components(edges(nodes, nodes.count(), distance, recall))
+    linked = nodes.select("node", "hi", "lo", "first").join(found, "node")
+    leads = linked.groupBy("root").agg(F.min(F.struct("first", "hi", "lo")).alias("lead"))
+    lead = linked.join(leads, "root").select("node", "lead")
+    named = nodes.join(lead, "node", "left").where("rows > 1 OR lead IS NOT NULL").select("hi", "lo", F.coalesce("lead", F.struct("first", "hi", "lo")).alias("lead"))
+    kept = (F.col("doc_id") == F.col("lead.first")) & (F.col("hi") == F.col("lead.hi")) & (F.col("lo") == F.col("lead.lo"))
+    return printed.join(named, ["hi", "lo"]).select("doc_id", "hi", "lo", F.col("lead.first").alias("group_id"), kept.alias("is_kept"))
+
+
 def groups(docs: DataFrame, distance: int = MAX_DISTANCE, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, group_id, is_kept) of all documents that have a copy, repeated rows included once per row.
     group_id is the smallest doc_id of the group, which is the one that stays."""
-    printed = stored(fingerprint_table(docs, id_col, text_col), "prints")
-    nodes = printed.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.count("*").alias("rows"))
-    nodes = stored(nodes, "nodes")
-    found = components(edges(nodes, nodes.count(), distance, recall))
-    named = nodes.join(found, "node", "left").select("hi", "lo", F.coalesce("root", "node").alias("group_id"), ((F.col("rows") > 1) | F.col("root").isNotNull()).alias("shared"))
-    member = printed.join(named.where("shared").select("hi", "lo", "group_id"), ["hi", "lo"])
-    return member.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("is_kept"))
+    return members(docs, distance, recall, id_col, text_col).select("doc_id", "group_id", "is_kept")
+
+
+def printed_rows(docs: DataFrame, text_col: str, name: str) -> DataFrame:
+    """docs with a column `name` of struct(hi, lo), null for a text without words."""
+
+    @F.arrow_udf("struct<hi:bigint,lo:bigint>")
+    def run(column: pa.Array) -> pa.Array:
+        fp, count = fingerprints(column)
+        signed = fp.view(np.int64)
+        return pa.StructArray.from_arrays([pa.array(signed[:, 0]), pa.array(signed[:, 1])], ["hi", "lo"], mask=pa.array(count == 0))
+
+    return docs.withColumn(name, run(F.col(text_col).cast("string")))
 
 
 def deduplicate(docs: DataFrame, distance: int = MAX_DISTANCE, recall: float = RECALL) -> DataFrame:
-    """The rows of docs (all columns) without those that copy a document with a smaller doc_id. Of rows that repeat
-    a doc_id one stays; rows without doc_id or without words stay."""
-    member = stored(groups(docs, distance, recall), "groups")
+    """The rows of docs (all columns) without those that copy a document with a smaller doc_id; of rows that repeat
+    both doc_id and text one stays; rows without doc_id or without words stay."""
+    member = stored(members(docs, distance, recall), "groups")
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id IS NOT NULL")
+    twice = stored(ids.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     # Both sides grow with the corpus, so this is a shuffled join at every size; hashing the ids spares sorting texts.
-    gone = member.where("NOT is_kept").select("doc_id").distinct().hint("shuffle_hash")
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    twice = member.where("is_kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    gone = member.where("NOT is_kept").select("doc_id").distinct().join(twice, "doc_id", "left_anti").hint("shuffle_hash")
     if twice.isEmpty():
-        return rest
-    twice = twice.hint("shuffle_hash")
-    one = rest.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return rest.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(one)
-
-
-def brute_force_groups(rows: list[tuple[int, str]], distance: int = MAX_DISTANCE) -> dict[int, int]:
-    """doc_id -> smallest doc_id of its group by comparing all pairs; for tests."""
-    rows = [r for r in rows if r[0] is not None and r[1] is not None]
-    fp, count = fingerprints(pa.array([r[1] for r in rows], pa.string()))
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    once = docs.join(twice.hint("shuffle_hash"), "doc_id", "left_anti").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    # A repeated doc_id does not say which of its rows is the copy, so these rows alone are printed again.
+    mark = "__print"
+    while mark in docs.columns:
+        mark += "_"
+    many = printed_rows(docs.join(twice.hint("shuffle_hash"), "doc_id", "left_semi").select(*docs.columns), "text", mark)
+    lost = member.where("NOT is_kept").select("doc_id", F.struct("hi", "lo").alias(mark)).distinct()
+    left = many.where(F.col(mark).isNotNull()).join(lost, ["doc_id", mark], "left_anti")
+    row = F.struct(*docs.columns)
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    one = left.groupBy("doc_id", mark).agg(F.min_by(row, F.struct("text", F.xxhash64(*hashed))).alias(mark + "row")).select(mark + "row.*")
+    bare = many.where(F.col(mark).isNull()).select(*docs.columns)
+    return once.unionByName(bare).unionByName(one.select(*docs.columns))
+
+
+def brute_force_members(rows: list[tuple[int, str]], distance: int = MAX_DISTANCE) -> list[tuple[int, bool] | None]:
+    """For each row (group_id, is_kept) by comparing all pairs, None for a row that belongs to no group; for tests. Rows
+    of one group that repeat the leader's doc_id and fingerprint are all kept here; deduplicate() leaves one of them."""
     ids = [r[0] for r in rows]
+    fp, count = fingerprints(pa.array([r[1] for r in rows], pa.string()))
+    signed = fp.view(np.int64).tolist()
+    live = [i for i in range(len(rows)) if ids[i] is not None and count[i]]
     root = list(range(len(rows)))
 
     def find(x: int) -> int:
@@ -313,11 +351,21 @@ def brute_force_groups(rows: list[tuple[int, str]], distance: int = MAX_DISTANCE
             x = root[x]
         return x
 
-    for i in range(len(rows)):
-        for j in range(i):
-            if count[i] and count[j] and sum(int(fp[i, w] ^ fp[j, w]).bit_count() for w in range(2)) <= distance:
+    for i in live:
+        for j in live:
+            if j < i and sum(int(fp[i, w] ^ fp[j, w]).bit_count() for w in range(2)) <= distance:
                 root[find(i)] = find(j)
-    best: dict[int, int] = {}
-    for i in range(len(rows)):
-        best[find(i)] = min(best.get(find(i), ids[i]), ids[i])
-    return {ids[i]: best[find(i)] for i in range(len(rows)) if count[i]}
+    of: dict[int, list[int]] = {}
+    for i in live:
+        of.setdefault(find(i), []).append(i)
+    out: list[tuple[int, bool] | None] = [None] * len(rows)
+    for own in of.values():
+        lead = min((ids[i], *signed[i]) for i in own)
+        for i in own:
+            out[i] = (lead[0], (ids[i], *signed[i]) == lead)
+    return out
+
+
+def brute_force_groups(rows: list[tuple[int, str]], distance: int = MAX_DISTANCE) -> dict[int, int]:
+    """doc_id -> smallest doc_id of its group, for rows with distinct ids."""
+    return {r[0]: m[0] for r, m in zip(rows, brute_force_members(rows, distance)) if m}
