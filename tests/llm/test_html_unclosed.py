@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import time
+
 import pytest
 
 from vignette.llm import htmlcut
@@ -25,3 +27,24 @@ from vignette.llm import htmlcut
 )
 def test_unclosed_elements_lose_no_text(html, want):
     assert [b.text for b in htmlcut.blocks(html)] == want
+
+
+@pytest.mark.parametrize("unit", ['<a b="x> t ', "<div>x", "<a ", "<a \"'\" ", "<title <b '", "<template>", "</ul><ul>"])
+@pytest.mark.parametrize("end", ["", "'", ">", "</ul>"])
+def test_hostile_pages_take_linear_time(unit, end):
+    def seconds(n):
+        page = unit * n + end * n
+        began = time.process_time()
+        htmlcut.extract(page, htmlcut.PRIOR)
+        return time.process_time() - began
+
+    seconds(500)
+    assert min(seconds(16_000) for _ in range(2)) < 0.05 + 9 * max(seconds(4_000) for _ in range(3))  # squares would be 16
+
+
+def test_tags_without_an_end_are_text():
+    assert [b.text for b in htmlcut.blocks('<p>one</p><a href="x>two</p><p>three')] == ["one", '<a href="x>two', "three"]
+    assert [b.text for b in htmlcut.blocks("<p>a <b x='1'>b</b> < c</p>d <")] == ["a b < c", "d <"]
+    deep = htmlcut.blocks("<div>x" * 3000 + "</div>" * 3000 + "<p>y")
+    assert len(deep) == 3001 and deep[2999].depth == 3000 and deep[3000].depth == 0
+    assert htmlcut.edges(deep)[-1][:2] == (2999, 3000)

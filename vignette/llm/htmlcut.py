@@ -11,14 +11,16 @@ their class names, so that it serves pages without them.
 Cases: null or empty html gives null or empty text and no blocks; text without any element is one block; unclosed and
 crossing elements are closed by their ancestors, noscript, svg and template too; a head without its end tag ends at
 the body, the first text or the first element that is not metadata; script, style and comments without an end reach to
-the end of the page, as in HTML; ties of the cut go to boilerplate; a page of any length is read whole;
-without telling elements in the sample a fixed prior replaces the classifier; other columns are not looked at.
+the end of the page, as in HTML; a tag without its > is text; ties of the cut go to boilerplate; a page of any length and
+depth is read whole, in linear time; repeated rows get equal results; an empty table gives no rows; without telling
+elements in the sample a fixed prior replaces the classifier; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from collections import deque
 
 import numpy as np
@@ -26,7 +28,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
 SAMPLE_PAGES = 500
 ADJACENT = 1.0  # capacity between blocks that follow each other under one parent; less with distance in the DOM
 SIBLING = 0.6  # between a block and the one before it under the same parent, other blocks between them
@@ -40,25 +41,121 @@ _HIDDEN = frozenset(["noscript", "svg", "template"])
 _LEAVES_SVG = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta ol p pre ruby s small span strong sub sup table u ul var".split())
 _CONTENT, _BOILER = frozenset(["article", "main"]), frozenset(["nav", "footer", "aside", "header"])
 _AD = re.compile(r"\b(?:ads?|advert\w*|promo\w*|sponsor\w*|banner|sidebar|cookie\w*|breadcrumb\w*|menu|navigation)\b", re.I)
+_LEAVES = frozenset("p li td th h1 h2 h3 h4 h5 h6 dd dt".split())  # blocks of these lie in what holds them
+_ALIKE = frozenset("p li td th tr dd dt option".split())  # a new one closes one that is open
 FEATURES = 14
 
 
+_TITLE = re.compile(r"<title\b[^>]*>((?:(?!</?head\b|<body\b|<title\b).)*?)</title\s*>", re.S | re.I)
+_QUOTES = re.compile("[\"'>]")
+_NAME = re.compile(r"</?[a-zA-Z][\w:-]*")
+
+
+def _tag_ends(html: str) -> tuple[list[int], list[int]]:
+    """(places of the signs " ' >, for each the place of the > that ends a tag which is open and outside quotes there, -1
+    for none). One pass from the end, so that a page of tags without an end costs no more than any other."""
+    at = [m.start() for m in _QUOTES.finditer(html)]
+    ends = [-1] * len(at)
+    out = single = double = -1
+    for k in range(len(at) - 1, -1, -1):
+        sign = html[at[k]]
+        if sign == ">":
+            out = at[k]
+        elif sign == '"':
+            out, double = double, out
+        else:
+            out, single = single, out
+        ends[k] = out
+    return at, ends
+
+
+def _tokens(html: str):
+    """(title, text, name, "/" of an end tag, attributes) of every token; comments and the like give None throughout.
+    Patterns read the page until one of them runs into a tag without an end; from there on ends are looked up."""
+    start = 0
+    for m in _TOKEN.finditer(html):
+        if m[6] == "<" and (after := html[m.start() + 1 : m.start() + 2]) and (after in "/!?" or after.isalpha()):
+            start = m.start()
+            break
+        yield m[2], m[6], m[4], m[3], m[5]
+    else:
+        return
+    at, ends = _tag_ends(html)
+    last, close, failed = html.rfind(">"), -1, -1  # of the page; the next one; the one behind which no title ends
+    while start < len(html):
+        if html[start] != "<":
+            stop = html.find("<", start)
+            stop = len(html) if stop < 0 else stop
+            yield None, html[start:stop], None, None, None
+            start = stop
+            continue
+        m = found = None
+        if html.startswith("<!--", start) or start < last and html[start + 1] in "!?":
+            found = _TOKEN.match(html, start)
+        elif start < last and (m := _NAME.match(html, start)):
+            name = m[0][1:].lower()
+            if name in ("script", "style"):
+                found = _TOKEN.match(html, start)
+            elif name == "title":
+                close = html.find(">", start) if close < start else close
+                if close != failed and not (found := _TITLE.match(html, start)):
+                    failed = close
+        if found:
+            yield (found[2] if found.re is _TOKEN else found[1]), None, None, None, None
+            start = found.end()
+            continue
+        k = bisect_left(at, m.end()) if m else len(at)
+        stop = ends[k] if k < len(at) else -1
+        if stop < 0:
+            yield None, "<", None, None, None
+            start += 1
+        else:
+            yield None, None, m[0].lstrip("</"), "/" if m[0][1] == "/" else "", html[m.end() : stop]
+            start = stop + 1
+
+
 class Block:
-    __slots__ = ("text", "linked", "tag", "depth", "parent", "path", "hint")
+    __slots__ = ("text", "linked", "tag", "depth", "parent", "node", "hint")
+
+    def __init__(self, text: str, linked: int, tag: str, node: "Node", hint: int):
+        self.text, self.linked, self.tag, self.node, self.hint = text, linked, tag, node, hint
+        self.depth, self.parent = node.depth, node.number
 
-    def __init__(self, text: str, linked: int, tag: str, path: tuple[int, ...], hint: int):
-        self.text, self.linked, self.tag, self.path, self.hint = text, linked, tag, path, hint
-        self.depth, self.parent = len(path), path[-1] if path else 0
+
+class Node:
+    """An element that blocks lie in; 0 is the page."""
+
+    __slots__ = ("number", "depth", "up")
+
+    def __init__(self, number: int, up: "Node | None"):
+        self.number, self.up = number, up
+        self.depth = 0 if up is None else up.depth + 1
+
+
+def apart(a: Node, b: Node) -> int:
+    """Steps between two elements. Over the blocks of a page in order they add up to twice its elements at most."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return steps
 
 
 def blocks(html: str) -> list[Block]:
-    """The blocks of a page in order. hint: 1 in article or main, -1 in boilerplate elements, else 0; for training only."""
+    """The blocks of a page in order, in time linear in its length. hint: 1 in article or main, -1 in boilerplate elements,
+    else 0; for training only."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int]] = []  # block elements: (tag, number, hint)
+    root = Node(0, None)
+    stack: list[tuple[str, Node, int]] = []  # block elements: (tag, node, hint)
+    opened: dict[str, int] = {}  # how many of each tag are in the stack
     text: list[str] = []
     linked = links = serial = 0
     head = titled = False  # in the head; after a title in it that is not closed
     inner: list[str] = []  # open elements from a hidden one on
+    within: dict[str, int] = {}  # how many of each tag are in it
     inline: dict[str, int] = {}  # open elements that are not in the stack
 
     def flush() -> None:
@@ -66,77 +163,87 @@ def blocks(html: str) -> list[Block]:
         if text:
             joined = " ".join(entities.unescape("".join(text)).split())
             if joined:
-                own = len(stack) - 1 if stack and stack[-1][0] in ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "dd", "dt") else len(stack)
-                out.append(Block(joined, min(linked, len(joined)), stack[-1][0] if stack else "", tuple(s[1] for s in stack[:own]), stack[-1][2] if stack else 0))
+                tag, node, hint = stack[-1] if stack else ("", root, 0)
+                out.append(Block(joined, min(linked, len(joined)), tag, node.up if tag in _LEAVES else node, hint))
             text.clear()
         linked = 0
 
-    for m in _TOKEN.finditer(html):
-        words = m[2] if m[2] is not None else m[6]
+    for title, plain, tag, closing, more in _tokens(html):
+        words = title if title is not None else plain
         if words is not None:
-            if head and (m[2] is not None or titled or not words.strip()) or inner:
+            if head and (title is not None or titled or not words.strip()) or inner:
                 continue
             head = False
             text.append(words)
             if links:
                 linked += len(words.strip())
             continue
-        tag = m[4]
         if tag is None:
             continue
         tag = tag.lower()
         if inner:
-            if m[3]:
-                if tag in inner:
-                    while inner.pop() != tag:
-                        pass
+            if closing:
+                if within.get(tag):
+                    while True:
+                        gone = inner.pop()
+                        within[gone] -= 1
+                        if gone == tag:
+                            break
                     continue
-                if not (inline.get(tag) or head and tag == "head" or any(s[0] == tag for s in stack)):
+                if not (inline.get(tag) or head and tag == "head" or opened.get(tag)):
                     continue
                 inner.clear()
-            elif head and tag == "body" or tag in _LEAVES_SVG and inner[0] == "svg" and not {"foreignobject", "desc", "title"}.intersection(inner):
+                within.clear()
+            elif head and tag == "body" or tag in _LEAVES_SVG and inner[0] == "svg" and not any(within.get(x) for x in ("foreignobject", "desc", "title")):
                 inner.clear()
+                within.clear()
             else:
-                if tag not in _VOID and not m[5].endswith("/"):
+                if tag not in _VOID and not more.endswith("/"):
                     inner.append(tag)
+                    within[tag] = within.get(tag, 0) + 1
                 continue
         if tag == "head":
-            head, titled = not m[3], False
+            head, titled = not closing, False
             continue
         if head:
-            titled = tag == "title" and not m[3]
-            head = tag in _HEAD or bool(m[3]) and tag not in ("body", "html", "br")
-        if tag in _HIDDEN and not m[3]:
-            if not (tag == "svg" and m[5].endswith("/")):
+            titled = tag == "title" and not closing
+            head = tag in _HEAD or bool(closing) and tag not in ("body", "html", "br")
+        if tag in _HIDDEN and not closing:
+            if not (tag == "svg" and more.endswith("/")):
                 inner.append(tag)
+                within[tag] = 1
             continue
         if tag == "a":
-            links = max(0, links + (-1 if m[3] else 1))
+            links = max(0, links + (-1 if closing else 1))
         if tag not in _BREAKS:
             if tag not in _VOID:
-                inline[tag] = max(0, inline.get(tag, 0) + (-1 if m[3] else 1))
+                inline[tag] = max(0, inline.get(tag, 0) + (-1 if closing else 1))
             continue
         flush()
         if tag in _VOID:
             continue
-        if m[3]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+        if closing:
+            if opened.get(tag):
+                while True:
+                    gone = stack.pop()[0]
+                    opened[gone] -= 1
+                    if gone == tag:
+                        break
             links = 0
             continue
-        if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option") and stack and stack[-1][0] == tag:
+        if tag in _ALIKE and stack and stack[-1][0] == tag:
             stack.pop()
+            opened[tag] -= 1
         hint = stack[-1][2] if stack else 0
         if tag in _CONTENT:
             hint = 1
         elif tag in _BOILER:
             hint = -1
-        elif m[5] and (named := _CLASS.findall(m[5])) and _AD.search(" ".join(named)):
+        elif more and (named := _CLASS.findall(more)) and _AD.search(" ".join(named)):
             hint = -1
         serial += 1
-        stack.append((tag, serial, hint))
+        stack.append((tag, Node(serial, stack[-1][1] if stack else root), hint))
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
     return out
 
@@ -188,13 +295,7 @@ def edges(page: list[Block]) -> list[tuple[int, int, float]]:
     out, seen = [], {}
     for j, b in enumerate(page):
         if j:
-            a = page[j - 1]
-            common = 0
-            for u, v in zip(a.path, b.path):
-                if u != v:
-                    break
-                common += 1
-            out.append((j - 1, j, ADJACENT / (1 + a.depth + b.depth - 2 * common)))
+            out.append((j - 1, j, ADJACENT / (1 + apart(page[j - 1].node, b.node))))
         before = seen.get(b.parent)
         if before is not None and before != j - 1:
             out.append((before, j, SIBLING))
