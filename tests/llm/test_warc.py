@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import os
+import zlib
 
 import pytest
 from compare import SMALL, database, rows_of_spark, rows_of_sql
@@ -70,4 +71,125 @@ def test_gaps_are_logged(spark):
     rows, folder = warc.round_trip(pages)
     got = warc.recovered(rows, folder)
     gaps = spark.read.parquet(f"{folder}/gaps")
-    assert gaps.count() > 0 and 150 < got.count() < 200 and set(gaps.columns) == {"path", "at", "length", "gap"}
+    assert gaps.count() > 0 and 150 < got.count() < 200 and set(gaps.columns) == {"path", "at", "inner", "length", "gap"}
+
+
+def numbers(data) -> list[int]:
+    return [int(x.headers["x-page-id"]) for x in warc.salvage(data) if isinstance(x, warc.Record)]
+
+
+def gaps_of(data) -> list:
+    return [x for x in warc.salvage(data) if isinstance(x, warc.Gap)]
+
+
+@pytest.mark.parametrize("held", [1 << 26, 1000])
+def test_a_member_may_hold_many_records(monkeypatch, held):
+    """What compressing a whole file makes; also where members are too large to be held."""
+    monkeypatch.setattr(warc, "HELD", held)
+    records = stream(40)
+    whole = warc.member(b"".join(records))
+    assert numbers(whole) == list(range(40)) and not gaps_of(whole)
+    two = warc.member(b"".join(records[:20])) + b"junk" + warc.member(b"".join(records[20:]))
+    assert numbers(two) == list(range(40)) and [g.end - g.at for g in gaps_of(two)] == [4]
+    broken = list(records)
+    broken[7] = broken[7].replace(b"page 7", b"page 8")
+    inside = warc.member(b"".join(broken))
+    assert numbers(inside) == [i for i in range(40) if i != 7] and gaps_of(inside)[0].reason == "digest differs"
+    cut = whole[: len(whole) * 2 // 3] + warc.member(records[0])
+    got = numbers(cut)
+    assert got[-1] == 0 and got[:-1] == list(range(len(got) - 1)) and len(got) > 15 and gaps_of(cut)
+    made = zlib.compressobj(6, zlib.DEFLATED, 31)
+    bad = made.compress(b"".join(records[:20])) + made.flush(zlib.Z_FULL_FLUSH) + b"\x07" * 50 + warc.member(records[0])
+    assert numbers(bad) == [*range(19), 0] and [g.reason for g in gaps_of(bad)] == ["bad gzip member"]
+
+
+def test_a_member_with_a_wrong_checksum_is_quarantined():
+    """The fault may lie in any header, which no digest covers."""
+    data = warc.member(b"".join(stream(3)))
+    bad = data[:-8] + b"\0\0\0\0" + data[-4:]
+    assert numbers(bad + data) == [0, 1, 2] and [(g.at, g.end, g.reason) for g in gaps_of(bad)] == [(0, len(bad), "checksum differs")]
+
+
+def changed(old: bytes, new: bytes) -> bytes:
+    made = warc.page_record(5, "u", "<p>five").replace(old, new)
+    assert new in made
+    return made
+
+
+def test_valid_records_in_other_writings():
+    import base64
+    import hashlib
+
+    block = b"<p>five"
+    sha = hashlib.sha1(block).digest()
+    base = b"sha1:" + base64.b32encode(sha)
+    forms = [
+        changed(b"WARC/1.0", b"WARC/0.18"),
+        changed(b"WARC/1.0", b"WARC/1.1"),
+        changed(base, b"sha1:" + sha.hex().encode()),
+        changed(base, b"sha1:" + sha.hex().upper().encode()),
+        changed(base, b"sha-256:" + hashlib.sha256(block).hexdigest().encode()),
+        changed(base, b"md5:" + base64.b64encode(hashlib.md5(block).digest())),
+        changed(base, b"blake9:whatever"),
+        changed(b"WARC-Type: resource", b"WARC-Type: resource\r\nX-Folded: a\r\n b\r\n\tc"),
+        changed(b"WARC-Type: resource", b"WARC-Type: resource\r\nX-Long: " + b"y" * 300_000),
+        changed(b"\r\n", b"\n"),
+    ]
+    for data in forms:
+        assert numbers(data) == [5] and numbers(warc.member(data)) == [5], data[:200]
+    wrong = changed(base, b"sha1:" + hashlib.sha1(b"x").hexdigest().encode())
+    assert numbers(wrong) == [] and gaps_of(wrong)[0].reason == "digest differs"
+    long = warc.page_record(6, "u" * 200_000 + "%", "x")
+    assert numbers(long + long) == [6, 6]
+
+
+def test_responses_lose_their_http_headers():
+    import gzip
+
+    page = "<p>né</p>"
+    chunks = b"3\r\n<p>\r\n4;x=y\r\nn\xc3\xa9<\r\n3\r\n/p>\r\n0\r\n\r\n"
+    for head, content in [
+        (b"Content-Type: text/html; charset=utf-8", page.encode()),
+        (b"Content-Type: text/html; charset=latin-1", page.encode("latin-1")),
+        (b"Content-Type: text/html; charset=nonsense", page.encode()),
+        (b"Transfer-Encoding: chunked", chunks),
+        (b"Content-Encoding: gzip", gzip.compress(page.encode())),
+    ]:
+        made = warc.record("response", b"HTTP/1.1 200 OK\r\n" + head + b"\r\n\r\n" + content, {"Content-Type": b"application/http; msgtype=response"}, "0")
+        (found,) = warc.salvage(made)
+        assert warc.decoded(*warc.body(found.headers, found.block)) == page
+
+
+def test_remote_files_are_read_in_blocks(tmp_path, monkeypatch):
+    """The reader for files that cannot be mapped gives what the map gives, also across its blocks."""
+    import random
+
+    from pyarrow import fs
+
+    rng = random.Random(3)
+    parts = []
+    for k, r in enumerate(stream(60)):
+        parts.append(warc.damage(warc.member(r) if k % 3 else r, rng.choice([0, 0, 0, 1, 2, 3])))
+    parts.append(warc.member(b"".join(stream(50))))
+    data = b"".join(parts)
+    (tmp_path / "x.warc").write_bytes(data)
+    monkeypatch.setattr(warc.Remote, "BLOCK", 777)
+    for kept in (2, 8):
+        monkeypatch.setattr(warc.Remote, "KEPT", kept)
+        with fs.LocalFileSystem().open_input_file(str(tmp_path / "x.warc")) as file:
+            assert list(warc.salvage(warc.Remote(file))) == list(warc.salvage(data))
+    where, name = warc.file_system("file:///a/b")
+    assert isinstance(where, fs.LocalFileSystem) and name == "/a/b" and warc.file_system("/a/b")[1] == "/a/b"
+
+
+def test_many_beginnings_take_linear_time():
+    import time
+
+    def seconds(n):
+        data = b"WARC/1.0\r\nX: y\r\n" * n
+        began = time.process_time()
+        assert not numbers(data)
+        return time.process_time() - began
+
+    seconds(500)
+    assert seconds(16_000) < 0.1 + 9 * max(seconds(4_000) for _ in range(3))

@@ -35,15 +35,20 @@ def shared_dir(spark) -> str:
 _OPEN: list[list[str]] = []  # the paths that each open scratch() has seen
 
 
+def scratch_path(spark, name: str) -> str:
+    """A new place under the shared folder; inside scratch() it is deleted at the end."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
 def stored(df, name: str):
     """df written as Parquet under the shared folder and read back: cuts lineage and survives lost executors. Inside
     scratch() it is deleted at the end, else it stays, as results may still read it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    if _OPEN:
-        _OPEN[-1].append(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
     back.stored_at = path
     return back
 

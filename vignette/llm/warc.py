@@ -4,39 +4,55 @@ The writer makes one gzip member a record. The reader walks from record to recor
 gzip checksum, the version line, the length and the digest of the block, the end of the record. When a check fails it
 searches on for the next place where a whole valid record starts (a gzip member or a version line), takes up reading
 there, and logs the bytes in between as quarantined: (path, at, length, reason). Compressed and plain records may
-stand in one file. A file is mapped, not loaded, and is one task's work; many files make the parallelism.
+stand in one file, and a member may hold any number of records (a whole file compressed as one stream): inside it the
+search goes on in the same way, over the inflated bytes. Of a member that is cut off or breaks, the records before the
+one that touches the fault are recovered; one whose checksum differs is quarantined, as no digest covers headers.
+
+Files are opened through pyarrow's file systems (local, HDFS, S3, GCS by the path's scheme), so writers and readers may
+be on different hosts. A local file is mapped, others are read block by block; a file is one task's work, many files
+make the parallelism. Members and headers have no size limit; a member beyond HELD inflated bytes is inflated twice
+and never held.
 
 Cases: an empty file has no records; one without any valid record is a single gap; a record cut off by the file's end
 is a gap; records that repeat are all returned; a null url or html is marked in the record and comes back as null; a
-null page_id comes back as null; other columns of pages are not written.
+null page_id comes back as null; an empty table writes no record; a page of any length is one record; headers may be
+folded, digests in base 16, 32 or 64; a response comes back as its body, without HTTP headers, chunks and content
+encoding; other columns of pages are not written.
 """
 
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import mmap
-import os
 import re
 import uuid
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 from typing import NamedTuple
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored
+from .common import scratch_path, stored
 
 MAGIC = b"\x1f\x8b\x08"
-_VERSION = re.compile(rb"WARC/1\.[01]\r?\n")
-_START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r?\n")
+_LINE = rb"WARC/[01]\.\d+\r?\n"
+_VERSION = re.compile(_LINE)
+_START = re.compile(rb"\x1f\x8b\x08|" + _LINE)
+_BLANK = re.compile(rb"\r?\n\r?\n")
+_FOLD = re.compile(rb"\r?\n[ \t]+")
 _ESCAPED = re.compile(rb"[\x00-\x20%\x7f]")
-MAX_HEADER = 1 << 16
+_CHARSET = re.compile(rb"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 PIECE = 1 << 16
+HELD = 1 << 26
+PAGES = ("resource", "response", "conversion")
 
 
 class Record(NamedTuple):
@@ -44,12 +60,14 @@ class Record(NamedTuple):
     end: int
     headers: dict[str, bytes]
     block: bytes
+    inner: int | None = None  # the record's place in the inflated member
 
 
 class Gap(NamedTuple):
     at: int
     end: int
     reason: str
+    inner: int | None = None
 
 
 # --- writing --------------------------------------------------------------------------------------------------------
@@ -89,17 +107,24 @@ def damage(data: bytes, kind: int) -> bytes:
     return data + b"\x00\x1f\x8b\x07noise" * 5 if kind == 3 else data
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system that serves a path or URI, and the path in it."""
+    if re.match(r"[a-z][a-z0-9+.-]*:", path) and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", path))
+    return fs.LocalFileSystem(), re.sub(r"^file:(//(?=/))?", "", path)
+
+
 def write_pages(pages: DataFrame, folder: str, fault: Column | None = None) -> DataFrame:
-    """Writes (page_id, url, html) as gzip WARC files into a local or shared folder, one a task, and returns (path,
-    records). fault: a column 0..3, see damage(). A task that runs again writes another file; only listed files count."""
-    local = folder.removeprefix("file://") if folder.startswith("file:///") else folder.removeprefix("file:")
+    """Writes (page_id, url, html) as gzip WARC files into a folder that all executors share, one a task, and returns
+    (path, records). fault: a column 0..3, see damage(). A task that runs again writes another file; only listed files
+    count."""
 
     def run(batches):
-        context = TaskContext.get()
-        os.makedirs(local, exist_ok=True)
-        path = f"{local}/pages-{context.partitionId():06}-{uuid.uuid4().hex}.warc.gz"
+        path = f"{folder}/pages-{TaskContext.get().partitionId():06}-{uuid.uuid4().hex}.warc.gz"
+        where, name = file_system(path)
+        where.create_dir(name.rpartition("/")[0])
         count = 0
-        with open(path, "wb") as out:
+        with where.open_output_stream(name, compression=None) as out:
             for batch in batches:
                 for page_id, url, html, kind in zip(*(c.to_pylist() for c in batch.columns)):
                     out.write(damage(member(page_record(page_id, url, html)), kind or 0))
@@ -113,118 +138,309 @@ def write_pages(pages: DataFrame, folder: str, fault: Column | None = None) -> D
 # --- reading --------------------------------------------------------------------------------------------------------
 
 
-def _inflate(data, at: int) -> tuple[bytes, int] | str:
-    """(content, end) of the gzip member at `at`, its checksum checked, or what is wrong with it."""
-    made, parts, head = zlib.decompressobj(31), [], b""
-    while not made.eof:
-        piece = data[at : at + PIECE]
-        if not piece:
-            return "member cut off"
-        try:
-            got = made.decompress(piece)
-        except zlib.error:
-            return "bad gzip member"
-        at += len(piece)
-        if len(head) < 8:
-            head += got[:8]
-            if not b"WARC/1.0".startswith(head[:7]) or len(head) > 7 and head[7:8] not in b"01":
-                return "no version line"
-        parts.append(got)
-    return b"".join(parts), at - len(made.unused_data)
-
-
-def _parse(data, at: int, until: int) -> tuple[dict[str, bytes], bytes, int] | str:
-    """(headers, block, end) of the record at `at`, or what is wrong with it."""
-    line = _VERSION.match(data[at : at + 16])
+class Remote:
+    """A file of any file system as a sequence of bytes; a few blocks are kept."""
+
+    BLOCK, KEPT = 1 << 22, 8
+
+    def __init__(self, file: pa.NativeFile):
+        self.file, self.size, self.blocks = file, file.size(), OrderedDict()
+
+    def __len__(self) -> int:
+        return self.size
+
+    def _block(self, k: int) -> bytes:
+        if k not in self.blocks:
+            self.blocks[k] = self.file.read_at(min(self.BLOCK, self.size - k * self.BLOCK), k * self.BLOCK)
+            if len(self.blocks) > self.KEPT:
+                self.blocks.popitem(last=False)
+        self.blocks.move_to_end(k)
+        return self.blocks[k]
+
+    def __getitem__(self, part: slice) -> bytes:
+        a, b = max(0, part.start or 0), self.size if part.stop is None else min(self.size, part.stop)
+        if a >= b:
+            return b""
+        first, last = a // self.BLOCK, (b - 1) // self.BLOCK
+        if first == last:
+            return self._block(first)[a - first * self.BLOCK : b - first * self.BLOCK]
+        if b - a > self.BLOCK * self.KEPT:
+            return self.file.read_at(b - a, a)
+        return b"".join(self._block(k) for k in range(first, last + 1))[a - first * self.BLOCK : b - first * self.BLOCK]
+
+
+class Stream:
+    """The inflated bytes of the gzip member at `at`, piece by piece, exactly up to its end or its fault."""
+
+    def __init__(self, data, at: int):
+        self.data, self.at, self.made = data, at, zlib.decompressobj(31)
+        self.step, self.pending = PIECE, b""
+        self.over, self.reason = False, ""
+
+    @property
+    def end(self) -> int:
+        return self.at - len(self.pending) - len(self.made.unused_data)
+
+    def more(self) -> bytes:
+        """The next piece; empty where the member is over."""
+        while not self.over:
+            if not self.pending:
+                self.pending = self.data[self.at : self.at + PIECE]
+                self.at += len(self.pending)
+            chunk, before = self.pending[: self.step], self.made.copy()
+            try:
+                got = self.made.decompress(chunk, 1 << 22)
+            except zlib.error as e:
+                if len(chunk) > 1:  # once more in smaller steps, up to the byte that fails
+                    self.made, self.step = before, max(1, len(chunk) // 16)
+                    continue
+                self.over, self.reason = True, "checksum differs" if "check" in str(e) else "bad gzip member"
+                break
+            self.pending = self.made.unconsumed_tail + self.pending[len(chunk) :]
+            if self.made.eof:
+                self.over = True
+            elif not chunk and not got:
+                self.over, self.reason = True, "member cut off"
+            if got:
+                return got
+        return b""
+
+
+class Inflated:
+    """What the member at `at` gives, read forwards; forget() lets go of what lies before."""
+
+    def __init__(self, data, at: int, size: int):
+        self.stream, self.size, self.base, self.held = Stream(data, at), size, 0, bytearray()
+
+    def __len__(self) -> int:
+        return self.size
+
+    def forget(self, at: int) -> None:
+        del self.held[: max(0, at - self.base)]
+        self.base = max(self.base, at)
+
+    def __getitem__(self, part: slice) -> bytes:
+        a, b = part.start, min(self.size, part.stop)
+        while self.base + len(self.held) < b and (got := self.stream.more()):
+            self.held += got
+        return bytes(self.held[max(0, a - self.base) : max(0, b - self.base)])
+
+
+def _search(pattern: re.Pattern, data, at: int, until: int) -> tuple[int, int] | None:
+    """(begin, end) of the first match of a pattern for up to 32 bytes."""
+    if isinstance(data, (bytes, mmap.mmap)):
+        found = pattern.search(data, at, until)
+        return found.span() if found else None
+    step = PIECE
+    while at < until:
+        part = data[at : min(until, at + step + 32)]
+        found = pattern.search(part)
+        if found and (found.start() < step or at + step >= until):
+            return found.start() + at, found.end() + at
+        at, step = at + step, min(step * 2, Remote.BLOCK)
+    return None
+
+
+class Member(NamedTuple):
+    reason: str  # empty if the checksum is right
+    end: int
+    inflated: int = 0  # how many bytes it gives
+    content: bytes | None = None  # these, where they are held
+
+
+def _inflate(data, at: int) -> Member:
+    stream, parts, head, total = Stream(data, at), [], b"", 0
+    while got := stream.more():
+        if len(head) < 6:
+            head += got[:6]
+            if not b"WARC/".startswith(head[:5]) or len(head) > 5 and head[5:6] not in b"01":
+                return Member("no version line", stream.end)
+        total += len(got)
+        if parts is not None:
+            parts.append(got)
+            if total > HELD:
+                parts = None
+    return Member(stream.reason, stream.end, total, None if parts is None else b"".join(parts))
+
+
+def _digest_differs(stated: bytes, block: bytes) -> bool:
+    """False where it matches or its kind is not known."""
+    kind, colon, value = stated.strip().partition(b":")
+    name = kind.decode("latin-1").strip().lower().replace("-", "")
+    if not colon or name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return False
+    made = hashlib.new(name, block).digest()
+    value = value.strip()
+    return value.lower() != made.hex().encode() and value.upper().rstrip(b"=") != base64.b32encode(made).rstrip(b"=") and value.rstrip(b"=") not in (base64.b64encode(made).rstrip(b"="), base64.urlsafe_b64encode(made).rstrip(b"="))
+
+
+def _parse(data, at: int, until: int, blank: list[int] | None = None) -> tuple[dict[str, bytes], bytes, int] | str:
+    """(headers, block, end) of the record at `at`, or what is wrong with it. blank remembers the empty line found last, so
+    that many beginnings before one such line do not search for it again."""
+    line = _VERSION.match(data[at : min(until, at + 32)])
     if not line:
         return "no version line"
-    top = data[at + line.end() : min(until, at + line.end() + MAX_HEADER)]
-    stop = re.search(rb"\r?\n\r?\n", top)
-    if not stop:
+    top = at + line.end()
+    blank = [-1, -1] if blank is None else blank
+    if blank[0] < top - 1:
+        blank[:] = _search(_BLANK, data, top, until) or (until, until)
+    stop, begin = blank
+    if stop >= until:
         return "header not closed"
     headers = {}
-    for part in top[: stop.start()].splitlines():
+    for part in _FOLD.sub(b" ", data[top:stop]).splitlines():
         key, colon, value = part.partition(b":")
         if not colon:
             return "bad header"
         headers[key.decode("latin-1").strip().lower()] = value.strip()
     size = headers.get("content-length", b"")
-    if not size.isdigit():
+    if not size.isdigit() or len(size) > 18:
         return "no length"
-    begin = at + line.end() + stop.end()
     end = begin + int(size)
     if end > until:
         return "block cut off"
-    block = data[begin:end]
-    digest = headers.get("warc-block-digest", b"")
-    if digest.lower().startswith(b"sha1:") and base64.b32encode(hashlib.sha1(block).digest()) != digest[5:].upper():
-        return "digest differs"
-    close = re.match(rb"\r?\n\r?\n", data[end : end + 4])
+    close = re.match(rb"\r?\n\r?\n", data[end : min(until, end + 4)])
     if not close:
         return "record not closed"
+    block = data[begin:end]
+    if _digest_differs(headers.get("warc-block-digest", b""), block):
+        return "digest differs"
     return headers, block, end + close.end()
 
 
-def read_at(data, at: int, size: int) -> Record | str:
-    """The record that starts exactly at `at`, or what is wrong there."""
-    if data[at : at + 3] == MAGIC:
-        found = _inflate(data, at)
-        if isinstance(found, str):
-            return found
-        content, end = found
-        parsed = _parse(content, 0, len(content))
-        if isinstance(parsed, str):
-            return parsed
-        return Record(at, end, parsed[0], parsed[1]) if parsed[2] == len(content) else "bytes after the record"
-    parsed = _parse(data, at, size)
-    return parsed if isinstance(parsed, str) else Record(at, parsed[2], parsed[0], parsed[1])
+class Found(NamedTuple):
+    """The items that start at a place; a reason where what follows them is broken."""
 
+    items: Iterator[Record | Gap]
+    reason: str = ""
 
-def salvage(data) -> Iterator[Record | Gap]:
-    """All valid records of a file, in order, and the gaps between them. data: bytes or a memory map."""
-    at, size = 0, len(data)
+
+def read_at(data, at: int, size: int, blank: list[int] | None = None) -> Found | str:
+    """What starts exactly at `at`: a record, a member with its records, or what is wrong there."""
+    if data[at : at + 3] != MAGIC:
+        parsed = _parse(data, at, size, blank)
+        return parsed if isinstance(parsed, str) else Found(iter([Record(at, parsed[2], parsed[0], parsed[1])]))
+    found = _inflate(data, at)
+    if not found.inflated:
+        return found.reason or "empty member"
+
+    def inside() -> Iterator[Record | Gap]:
+        return _walk(Inflated(data, at, found.inflated) if found.content is None else found.content, found.inflated, _VERSION)
+
+    if not found.reason:
+        return Found(x._replace(at=at, end=found.end, inner=x.at) for x in inside())
+    if found.reason == "checksum differs":  # the wrong byte may stand in any header, which no digest covers
+        return found.reason
+    before = lambda: (x for x in inside() if isinstance(x, Record) and x.end < found.inflated)
+    if next(before(), None) is None:
+        return found.reason
+    return Found((x._replace(at=at, end=at + len(MAGIC), inner=x.at) for x in before()), found.reason)
+
+
+def _walk(data, size: int, starts: re.Pattern) -> Iterator[Record | Gap]:
+    at, blank = 0, [-1, -1]
     while at < size:
-        found = read_at(data, at, size)
-        if isinstance(found, Record):
-            yield found
-            at = found.end
-            continue
-        begin, reason, found = at, found, None
-        for start in _START.finditer(data, at + 1):
-            tried = read_at(data, start.start(), size)
-            if isinstance(tried, Record):
-                found = tried
-                break
-        at = found.at if found else size
-        yield Gap(begin, at, reason)
-        if found:
-            yield found
-            at = found.end
+        found = read_at(data, at, size, blank)
+        reason = found if isinstance(found, str) else found.reason
+        for x in () if isinstance(found, str) else found.items:
+            at = max(at, x.end)
+            yield x
+        if reason:
+            begin, start = at, _search(starts, data, at + 1, size)
+            while start and isinstance(read_at(data, start[0], size, blank), str):
+                start = _search(starts, data, start[0] + 1, size)
+            at = start[0] if start else size
+            yield Gap(begin, at, reason)
+        if isinstance(data, Inflated):
+            data.forget(at)
 
 
-ROWS = "path string, at bigint, length bigint, gap string, page_id bigint, url string, html string"
+def salvage(data) -> Iterator[Record | Gap]:
+    """All valid records of a file, in order, and the gaps between them. data: bytes, a memory map or a Remote."""
+    return _walk(data, len(data), _START)
+
+
+def body(headers: dict[str, bytes], block: bytes) -> tuple[bytes, bytes]:
+    """(content, its type) of a record: of an HTTP response without headers, chunks and content encoding."""
+    kind = headers.get("content-type", b"")
+    if headers.get("warc-type", b"").lower() != b"response" or not kind.lower().startswith(b"application/http"):
+        return block, kind
+    stop = _BLANK.search(block)
+    if not stop:
+        return block, kind
+    http = {}
+    for line in _FOLD.sub(b" ", block[: stop.start()]).splitlines()[1:]:
+        key, _, value = line.partition(b":")
+        http[key.strip().lower()] = value.strip()
+    content = block[stop.end() :]
+    if b"chunked" in http.get(b"transfer-encoding", b"").lower():
+        parts, at = [], 0
+        while m := re.compile(rb"\s*([0-9a-fA-F]+)[^\n]*\n").match(content, at):
+            n = int(m[1], 16)
+            parts.append(content[m.end() : m.end() + n])
+            at = m.end() + n
+            if not n:
+                break
+        content = b"".join(parts) if parts else content
+    for coding in reversed(http.get(b"content-encoding", b"").lower().split(b",")):
+        with contextlib.suppress(zlib.error):
+            if coding.strip() in (b"gzip", b"x-gzip"):
+                content = zlib.decompressobj(31).decompress(content)
+            elif coding.strip() == b"deflate":
+                content = zlib.decompressobj(15 if content[:1] == b"x" else -15).decompress(content)
+    return content, http.get(b"content-type", b"")
+
+
+def decoded(content: bytes, kind: bytes) -> str:
+    named = _CHARSET.search(kind)
+    with contextlib.suppress(LookupError):
+        if named:
+            return content.decode(named[1].decode("ascii"), errors="replace")
+    return content.decode(errors="replace")
+
+
+ROWS = "path string, at bigint, inner bigint, length bigint, gap string, kind string, page_id bigint, url string, html string"
+
+
+@contextlib.contextmanager
+def opened(path: str):
+    """The bytes of a file, mapped if it is local; None if it is empty."""
+    where, name = file_system(path)
+    if not where.get_file_info(name).size:
+        yield None
+    elif isinstance(where, fs.LocalFileSystem):
+        with open(name, "rb") as file, mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as data:
+            yield data
+    else:
+        with where.open_input_file(name) as file:
+            yield Remote(file)
+
+
+def _row(path: str, x: Record | Gap) -> tuple:
+    if isinstance(x, Gap):
+        return path, x.at, x.inner, x.end - x.at, x.reason, None, None, None, None
+    page, url = x.headers.get("x-page-id"), x.headers.get("warc-target-uri")
+    html = None if "x-null-block" in x.headers else decoded(*body(x.headers, x.block))
+    kind = x.headers.get("warc-type", b"").decode("latin-1").lower()
+    number = int(page) if page and re.fullmatch(rb"-?\d{1,18}|-?[0-8]\d{18}|-?9[01]\d{17}", page) else None
+    return path, x.at, x.inner, x.end - x.at, None, kind, number, None if url is None else unquote_to_bytes(url.strip(b"<>")).decode(errors="replace"), html
 
 
 def read(files: DataFrame) -> DataFrame:
-    """files: (path). Rows (path, at, length, gap, page_id, url, html): a record where gap is null, else a quarantined
-    stretch of the file and why."""
+    """files: (path). Rows (path, at, inner, length, gap, kind, page_id, url, html): a record where gap is null, else a
+    quarantined stretch of the file and why. inner is the place in the inflated member, null in plain files."""
 
     def run(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                if path is None or not os.path.getsize(path):
+                if path is None:
                     continue
                 rows: list[tuple] = []
                 held = 0
-                with open(path, "rb") as file, mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) as data:
-                    for x in salvage(data):
-                        if isinstance(x, Gap):
-                            rows.append((path, x.at, x.end - x.at, x.reason, None, None, None))
-                        else:
-                            page, url = x.headers.get("x-page-id"), x.headers.get("warc-target-uri")
-                            html = None if "x-null-block" in x.headers else x.block.decode(errors="replace")
-                            rows.append((path, x.at, x.end - x.at, None, int(page) if page and page.lstrip(b"-").isdigit() else None, None if url is None else unquote_to_bytes(url).decode(errors="replace"), html))
-                            held += len(x.block)
+                with opened(path) as data:
+                    for x in () if data is None else salvage(data):
+                        rows.append(_row(path, x))
+                        held += len(x.block) if isinstance(x, Record) else 0
                         if held > 1 << 24 or len(rows) >= 5000:
                             yield _batch(rows)
                             rows, held = [], 0
@@ -235,8 +451,8 @@ def read(files: DataFrame) -> DataFrame:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["path", "at", "length", "gap", "page_id", "url", "html"])
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["path", "at", "inner", "length", "gap", "kind", "page_id", "url", "html"])
 
 
 def fault_of(page_id: Column) -> Column:
@@ -247,12 +463,13 @@ def fault_of(page_id: Column) -> Column:
 
 def round_trip(pages: DataFrame) -> tuple[DataFrame, str]:
     """(rows of read(), stored; folder) after writing all pages as WARC files of which some records are damaged."""
-    folder = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    folder = scratch_path(pages.sparkSession, "warc")
     files = stored(write_pages(pages, folder, fault_of(F.col("page_id"))), "warc-files")
-    return stored(read(files.repartition(max(1, files.count()), "path")), "warc-rows"), folder
+    return stored(read(files.repartition(max(1, files.count()))), "warc-rows"), folder
 
 
 def recovered(rows: DataFrame, folder: str) -> DataFrame:
-    """(page_id, url, html) of the records; the gaps (path, at, length, gap) go to the table `gaps` in the folder."""
-    rows.where("gap IS NOT NULL").select("path", "at", "length", "gap").write.parquet(f"{folder}/gaps")
-    return rows.where("gap IS NULL").select("page_id", "url", "html")
+    """(page_id, url, html) of the records that hold pages; the gaps (path, at, inner, length, gap) go to the table `gaps` in
+    the folder."""
+    rows.where("gap IS NOT NULL").select("path", "at", "inner", "length", "gap").write.parquet(f"{folder}/gaps")
+    return rows.where(F.col("gap").isNull() & F.col("kind").isin(*PAGES)).select("page_id", "url", "html")
