@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from compare import SMALL
 from pyspark.sql import functions as F
 
-from vignette.llm import packing, queries
+from vignette.llm import bpe, packing, queries
 
 
 def brute_pack(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -47,6 +48,12 @@ def test_rule_equals_brute_force(lengths, capacity):
     assert sorted(i for b in got for i in b) == list(range(len(lengths)))
 
 
+def tokens(text: str) -> int:
+    """Ids that operator 3 gives; test_packing_tokens.py holds them against tiktoken."""
+    data = text.encode()
+    return len(bpe.vocabulary().encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0])
+
+
 def covered(bins, want: dict, capacity: int) -> None:
     spans: dict = {}
     for r in bins:
@@ -60,7 +67,7 @@ def covered(bins, want: dict, capacity: int) -> None:
 
 def test_query_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
-    want = {r["doc_id"]: -(-len(r["text"].encode()) // packing.BYTES_A_TOKEN) for r in docs.collect() if r["text"]}
+    want = {r["doc_id"]: tokens(r["text"]) for r in docs.collect() if r["text"]}
     bins = queries.op8_best_fit_packing(spark, SMALL).collect()
     covered(bins, want, packing.CAPACITY)
     rest = [(d, n % packing.CAPACITY) for d, n in sorted(want.items()) if n % packing.CAPACITY]
@@ -75,9 +82,24 @@ def test_odd_rows(documents, odd_rows):
     want: dict = {}
     for i, t, _ in odd_rows:
         if t:
-            want[i] = want.get(i, 0) + -(-len(t.encode()) // packing.BYTES_A_TOKEN)
+            want[i] = want.get(i, 0) + tokens(t)
     covered(packing.bins(df).collect(), want, packing.CAPACITY)
     several = packing.bins(df, shard=2)
     covered(several.collect(), want, packing.CAPACITY)
     assert several.select("bin_id").distinct().count() == several.count()
     assert packing.bins(df.limit(0)).count() == 0 and packing.bins(df.where(F.lit(False))).count() == 0
+
+
+def test_repeated_rows_do_not_fill_a_shard(documents):
+    """A third of all rows with one id and text, a third without any id."""
+    rows = [(7, "the same words again", "en")] * 300 + [(None, "one length " * 3, "en")] * 300 + [(100 + i, "words " * (i % 40 + 1), "en") for i in range(300)]
+    df = documents(rows)
+    got = packing.bins(df, capacity=64, shard=100).collect()
+    sizes: dict = {}
+    for r in got:
+        sizes[r["bin_id"] >> 32] = sizes.get(r["bin_id"] >> 32, 0) + len(r["doc_ids"])
+    assert len(sizes) == 9 and max(sizes.values()) < 160
+    want: dict = {}
+    for i, t, _ in rows:
+        want[i] = want.get(i, 0) + tokens(t)
+    covered(got, want, 64)

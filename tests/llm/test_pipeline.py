@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 from compare import SMALL
+from test_packing import tokens
 from test_quality import brute_verdict
 
 import corpus_pipeline
-from vignette.llm import langid, packing, secrets, simhash
+from vignette.llm import langid, secrets, simhash
 
 
 def test_run_equals_brute_force(spark):
@@ -20,10 +21,11 @@ def test_run_equals_brute_force(spark):
     rows = [r for r in rows if group.get(r[0], r[0]) == r[0]]
     net, total = secrets.model(), {}
     for i, text in rows:
-        data = text.encode()
+        data, made, at = text.encode(), b"", 0
         s, e, _, _, bad = secrets.scan(np.frombuffer(data, np.uint8), np.array([0, len(data)]), net)
-        size = len(data) - sum(int(b - a) - len(secrets.MASK) for a, b in zip(s[bad], e[bad]))
-        total[i] = -(-size // packing.BYTES_A_TOKEN)
+        for a, b in zip(s[bad], e[bad]):
+            made, at = made + data[at:a] + secrets.MASK, b
+        total[i] = tokens((made + data[at:]).decode())
     got: dict = {}
     for r in corpus_pipeline.run(spark, SMALL).collect():
         for d, n in zip(r["doc_ids"], r["lengths"]):

@@ -1,14 +1,16 @@
 """Operator 8: best-two-fit packing of documents into training sequences.
 
-Shards of about SHARD documents, chosen by a hash of doc_id and text length, are packed independently, so that the
-work is one small shuffle of (doc_id, length) and scales with the number of shards; what a shard loses is at most
-its last bins. In a shard a bin is filled greedily with the longest documents that fit; then its smallest document
-gives way to the two unpacked documents that together fit the widened gap most tightly, if they fill it better. A
-document longer than the capacity is cut into full bins and a rest, which is packed like a document. Lengths and
-starts count the token ids that operator 3 gives the whole text.
+Shards of SHARD documents, dealt out by a row number that is stored with the lengths, are packed independently, a task
+each, so that the work is one small shuffle of (doc_id, length) and scales with the number of shards; no key decides
+about the shard, so no repeated row, id or length can fill one. What a shard loses is at most its last bins. In a
+shard a bin is filled greedily with the longest documents that fit; then its smallest document gives way to the two
+unpacked documents that together fit the widened gap most tightly, if they fill it better. A document longer than the
+capacity is cut into full bins and a rest, which is packed like a document. Lengths and starts count the token ids that
+operator 3 gives the whole text.
 
 Cases: a null or empty text has length 0 and is left out; a null doc_id is packed and listed as null; repeated rows
-are packed each; ties go to the smaller doc_id (nulls last), then the smaller start; other columns are not looked at.
+are packed each; ties go to the smaller doc_id (nulls last), then the smaller length; an empty table gives no bins; a
+text of any length is counted whole; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections import deque
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,9 +95,9 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = bpe.VOCABULARY) -> DataFrame:
     """(doc_id, total) of the documents that have any text; total in tokens."""
-    return bpe.counts(docs, id_col=id_col, text_col=text_col).where("total > 0")
+    return bpe.counts(docs, path, id_col, text_col).where("total > 0")
 
 
 def pack_shard(frame: pd.DataFrame, capacity: int, shard: int) -> pd.DataFrame:
@@ -103,6 +106,7 @@ def pack_shard(frame: pd.DataFrame, capacity: int, shard: int) -> pd.DataFrame:
     frame = frame.sort_values(["doc_id", "total"], na_position="last", kind="stable")
     for doc, total in zip(frame["doc_id"].astype("Int64"), frame["total"].tolist()):
         doc = None if doc is pd.NA else int(doc)
+        total = int(total)
         whole = total // capacity
         full += [([doc], [k * capacity], [capacity]) for k in range(whole)]
         if total % capacity:
@@ -113,14 +117,21 @@ def pack_shard(frame: pd.DataFrame, capacity: int, shard: int) -> pd.DataFrame:
     return pd.DataFrame([((shard << 32) + k, *r, sum(r[2])) for k, r in enumerate(rows)], columns=["bin_id", "doc_ids", "starts", "lengths", "used"])
 
 
-def bins(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def bins(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", path: str = bpe.VOCABULARY) -> DataFrame:
     """One row per bin: (bin_id, doc_ids, starts, lengths, used); doc_ids[i] fills lengths[i] tokens of the bin with
     its tokens from starts[i] on."""
-    found = stored(pieces(docs, capacity, id_col, text_col), "lengths")
+    found = stored(pieces(docs, id_col, text_col, path).withColumn("row", F.monotonically_increasing_id()), "lengths")
     shards = -(-found.count() // shard) or 1
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pack_shard(frame[["doc_id", "total"]], capacity, int(key[0]))
-
-    placed = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "total"), F.lit(shards)))
-    return placed.groupBy("shard").applyInPandas(run, BINS)
+    def run(batches):
+        held = [pa.Table.from_batches([b]) for b in batches]
+        if not held:
+            return
+        frame = pa.concat_tables(held).to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+        for number, own in frame.groupby("shard"):
+            made = pack_shard(own[["doc_id", "total"]], capacity, int(number))
+            kinds = [("bin_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("used", pa.int32())]
+            yield pa.RecordBatch.from_arrays([pa.array(made[c].tolist(), t) for c, t in kinds], [c for c, _ in kinds])
+
+    placed = found.select("doc_id", "total", F.pmod("row", F.lit(shards)).cast("int").alias("shard"))
+    return placed.repartitionById(shards, "shard").mapInArrow(run, BINS)
