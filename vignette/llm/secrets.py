@@ -1,17 +1,21 @@
 """Operator 4: secret scan. A character convolutional network in numpy judges every candidate in its context.
 
 A candidate is a run of MIN_RUN or more characters of [A-Za-z0-9_+/-] with a digit, one of LONG_RUN or more without, or
-one that a ':' or '=' leads in; and the whole non-blank or quoted run, of any length and any characters, that a ':', a
-'=' or a credential word leads in. There is no other filter, the network decides. Where such runs lie in one another and
-several are secrets, the widest is the finding. The network sees windows of the candidate's characters (as many overlapping
-windows as a long candidate needs) with LEFT and RIGHT characters of context and a marker of what belongs to the
-candidate. It is trained here, on findings with known labels that a seeded generator writes: credentials of many
-issuers and passwords against card numbers, addresses, checksums, commit ids, uuids, dates, file names and the like.
-Scores are calibrated by Platt scaling on held-out findings, which are found by candidates() like any other text; the
-threshold is the largest that keeps RECALL of the held-out secrets, those counted that no candidate covers.
-
-Cases: null and empty texts have no findings; a candidate that crosses nothing but its own text is seen whole
-however long; findings of repeated rows repeat; ties cannot occur; other columns are not looked at.
+one that a ':' or '=' leads in; the whole non-blank or quoted run, of any length and any characters, that a ':', a '='
+or a credential word leads in; and any non-blank run of MIN_RUN or more with a letter, a digit and other signs, without
+brackets and sentence signs at its ends. Runs with structure are taken apart and never a candidate as a whole: of a URL the password and the
+values of the query, of a list of key=value pairs the values. There is no other filter, the network decides. Where such
+runs lie in one another and several are secrets, the widest is the finding. The network sees windows of the candidate's
+characters (as many overlapping windows as a long candidate needs) with LEFT and RIGHT characters of context and a marker
+of what belongs to the candidate. It is trained here, on findings with known labels that a seeded generator writes:
+credentials of many issuers, passwords and connection strings against card numbers, addresses, checksums, commit ids,
+uuids, dates, file names, names of settings and the like. Scores are calibrated by Platt scaling on held-out findings,
+which are found by candidates() like any other text; the threshold is the largest that keeps RECALL of the held-out
+secrets, those counted that no candidate covers.
+
+Cases: null and empty texts have no findings; a candidate is seen whole however long; findings of repeated rows
+repeat; flagged runs that cross without lying in one another are told by the one that begins first, of equal beginnings
+the wider; an empty table has no findings; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -34,32 +38,100 @@ LEFT, BODY, RIGHT = 24, 48, 8
 STRIDE = 32
 WIDTH = LEFT + BODY + RIGHT
 RECALL = 0.99
-EXAMPLES = 16_000
+EXAMPLES = 18_000
 MASK = b"[SECRET]"
 
 _CLASS = np.zeros(256, bool)
 _CLASS[[ord(c) for c in string.ascii_letters + string.digits + "_+/-"]] = True
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[ord(c) for c in string.ascii_letters]] = True
 
 
 _WORDS = rb"(?<![a-zA-Z])(?:pass(?:word|wd|phrase|code|wort)?|pwd|kennwort|secret|token|credentials?|(?:api|access|secret|private|encryption|session)[_-]?key|bearer)(?![a-zA-Z])"
 _LED = re.compile(rb"(?:[:=]+>?[^\S\n]*|" + _WORDS + rb"[\"']?(?:\s+(?:is|was|ist|war|est|es|era)\b)?[\s:=>]+)(?:\"([^\"\s]+)|'([^'\s]+)|([^\s\"':=]\S*))", re.I)
 
 
+_PAIR = re.compile(rb"[;&,?](?=[\w.-]+=)")
+_USER = re.compile(rb"//[^\s/:@]*:(\S+)@")
+_VALUE = re.compile(rb"[?&;][\w.-]+=([^&;#\s]+)")
+_LABEL = re.compile(rb"[a-zA-Z_][\w.-]*[:=]+[^\s:=]")
+_KEYED = re.compile(rb"[\w.-]+=(?!=)")
+
+
+def parts(data: bytes, a: int, b: int):
+    """(start, end) of what the run data[a:b] holds: its values, if it is a URL or a list of pairs, else itself."""
+    run = data[a:b]
+    if b"//" in run and (run.startswith(b"//") or b"://" in run):
+        if m := _USER.search(run):
+            yield a + m.start(1), a + m.end(1)
+        for m in _VALUE.finditer(run):
+            yield a + m.start(1), a + m.end(1)
+        return
+    cuts = [m.start() for m in _PAIR.finditer(run)]
+    if not cuts:
+        yield a, b
+        if (m := _KEYED.match(run)) and m.end() < len(run):
+            yield a + m.end(), b
+        return
+    for x, y in zip([-1, *cuts], [*cuts, len(run)]):
+        x += 1
+        if m := _KEYED.match(run, x, y):
+            x = m.end()
+        if x < y:
+            yield a + x, a + y
+
+
 def led_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of the non-blank or quoted runs that a ':', a '=' or a credential word leads in."""
+    """(start, end, row) of the non-blank or quoted runs that a ':', a '=' or a credential word leads in, taken apart."""
     data, out = raw.tobytes(), []
     for i in range(len(offsets) - 1):
-        for m in _LED.finditer(data[offsets[i] : offsets[i + 1]]):
-            a, b = m.span(m.lastindex)
-            out.append((a + offsets[i], b + offsets[i], i))
+        text = data[offsets[i] : offsets[i + 1]]
+        for m in _LED.finditer(text):
+            out += [(a + offsets[i], b + offsets[i], i) for a, b in parts(text, *m.span(m.lastindex))]
+    return tuple(np.array(out, np.int64).reshape(-1, 3).T)
+
+
+_OPEN, _CLOSE = b"([{<*#%&$|`~", b".,;:!?)]}>*#%&$|`~"
+_EDGE = np.zeros(256, bool)
+_EDGE[[*range(33), 34, 39, 127]] = True
+
+
+def spans(inside: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of the stretches of at least `least` bytes where `inside` holds; none crosses a row's end."""
+    cuts = offsets[1:-1]
+    cuts = cuts[(cuts > 0) & (cuts < len(inside))]
+    head, tail = inside.copy(), inside.copy()
+    head[1:] &= ~inside[:-1]
+    head[cuts] = inside[cuts]
+    tail[:-1] &= ~inside[1:]
+    tail[cuts - 1] = inside[cuts - 1]
+    start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
+    long = end - start >= least
+    return start[long], end[long]
+
+
+def whole_runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the runs without blanks and quotes that hold a letter, a digit and other signs, taken apart."""
+    start, end = spans(~_EDGE[raw], offsets, MIN_RUN)
+    count = lambda of: (sums := np.concatenate([[0], np.cumsum(of[raw], dtype=np.int64)]))[end] - sums[start]
+    some = (count(_DIGIT) > 0) & (count(_LETTER) > 0) & (count(_CLASS) < end - start)
+    start, end = start[some], end[some]
+    out = []
+    for a, b, r in zip(start.tolist(), end.tolist(), (np.searchsorted(offsets, start, side="right") - 1).tolist()):
+        run = raw[a:b].tobytes()
+        short = run.lstrip(_OPEN)
+        a += len(run) - len(short)
+        if not _LABEL.match(short):  # what stands behind a label is led in
+            short = short.rstrip(_CLOSE)
+            out += [(x + a, y + a, r) for x, y in parts(short, 0, len(short)) if y - x >= MIN_RUN]
     return tuple(np.array(out, np.int64).reshape(-1, 3).T)
 
 
 def candidates(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row) byte spans of all candidates, each once, by start, then the wider first."""
-    both = np.concatenate([np.stack(runs(raw, offsets)), np.stack(led_runs(raw, offsets))], axis=1)
+    both = np.concatenate([np.stack(f(raw, offsets)) for f in (runs, led_runs, whole_runs)], axis=1)
     start, minus, row = np.unique(both * np.array([[1], [-1], [1]]), axis=1)
     return start, -minus, row
 
@@ -74,17 +146,7 @@ def runs(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     """(start, end, row) of the candidates among runs of the class; vectorised over the whole buffer."""
     if not len(raw):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    inside = _CLASS[raw]
-    cuts = offsets[1:-1]
-    cuts = cuts[(cuts > 0) & (cuts < len(raw))]
-    head, tail = inside.copy(), inside.copy()
-    head[1:] &= ~inside[:-1]
-    head[cuts] = inside[cuts]
-    tail[:-1] &= ~inside[1:]
-    tail[cuts - 1] = inside[cuts - 1]
-    start, end = np.flatnonzero(head), np.flatnonzero(tail) + 1
-    long = end - start >= MIN_RUN
-    start, end = start[long], end[long]
+    start, end = spans(_CLASS[raw], offsets, MIN_RUN)
     digits = np.concatenate([[0], np.cumsum(_DIGIT[raw], dtype=np.int64)])
     row = np.searchsorted(offsets, start, side="right") - 1
     first = offsets[row]
@@ -166,7 +228,7 @@ class Network:
         g["emb"][seen] = np.add.reduceat(dx.reshape(-1, self.EMBED)[order], first, axis=0)
         return g
 
-    def train(self, codes: np.ndarray, marks: np.ndarray, label: np.ndarray, epochs: int = 4, batch: int = 128, rate: float = 2e-3, seed: int = 11) -> None:
+    def train(self, codes: np.ndarray, marks: np.ndarray, label: np.ndarray, epochs: int = 5, batch: int = 256, rate: float = 3e-3, seed: int = 11) -> None:
         g = np.random.default_rng(seed)
         m = {k: np.zeros_like(x) for k, x in self.w.items()}
         s = {k: np.zeros_like(x) for k, x in self.w.items()}
@@ -238,8 +300,44 @@ def labelled(n: int, seed: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np
         form = g.choice(["{k} = \"{v}\"", "{k}={v}", "{k}: {v}", "{k}:{v}", "{k} = '{v}'", "\"{k}\": \"{v}\"", "{k} = {v}", "--{k} {v}", "export {k}={v}"])
         return form.format(k=key, v=value), value
 
+    def plain() -> str:
+        return g.choice(syllables).replace("é", "e").replace("ä", "a").replace("ñ", "n")
+
+    def leet() -> str:
+        """A word with signs and digits inside, as people choose passwords."""
+        w = "".join(plain() for _ in range(g.randint(2, 3)))
+        w = "".join(g.choice({"o": "0", "e": "3", "i": "1", "a": "4@", "s": "$5", "t": "7+"}.get(c, c)) if g.random() < 0.5 else c for c in w)
+        w = w[0].upper() + w[1:] if g.random() < 0.7 else w
+        return w + g.choice("&!#$%^*@") + some(string.digits, 1, 3) + g.choice(["", g.choice("!#$&^*") + some(string.ascii_letters, 2, 5), some(string.ascii_letters, 2, 5)])
+
+    def password() -> str:
+        return g.choice([leet(), some(alnum, 8, 20), plain().capitalize() + plain() + some(string.digits, 2, 4), some(alnum, 4, 8) + g.choice("!#$&^*") + some(alnum, 4, 8), some(hexes, 16, 32)])
+
+    def structured(kind: int) -> tuple[str, str]:
+        user, v = plain() + g.choice(["", "user", "_rw"]), password()
+        host = g.choice([f"{plain()}.{plain()}.{g.choice(['com', 'net', 'org', 'de', 'fr', 'es'])}", f"{plain()}{plain()}.io", plain() + plain(), "localhost", "127.0.0.1", f"10.{g.randint(0, 255)}.0.{g.randint(1, 99)}", f"{plain()}-{g.randint(1, 9)}.{plain()}"])
+        if kind == 20:
+            v = v.replace("@", "!").replace("#", "!")
+            scheme = g.choice(["postgres", "postgresql", "mysql", "mongodb", "mongodb+srv", "redis", "amqp", "ftp", "sftp", "https", "smtp", "ldap", "jdbc:mysql"])
+            return f"{g.choice(['', '', 'url: ', 'DATABASE_URL=', 'dsn = '])}{scheme}://{g.choice([user, user, 'root', 'admin', ''])}:{v}@{host}{g.choice(['', ':5432', ':27017'])}{g.choice(['', '/', '/' + plain(), '/app?ssl=true'])}", v
+        if kind == 21:
+            if g.random() < 0.5:
+                v = some(b64, 43, 86) + g.choice(["", "=", "=="])
+                return g.choice([f"DefaultEndpointsProtocol=https;AccountName={user};AccountKey={v};EndpointSuffix=core.example.net", f"Endpoint=sb://{host}/;SharedAccessKeyName={user};SharedAccessKey={v}", f"AccountKey={v}"]), v
+            v = v.replace(";", "").replace("&", "")
+            return g.choice([f"Server={host};Database={plain()};User Id={user};Password={v};", f"Data Source={host};Uid={user};Pwd={v}", f"https://{host}/login?user={user}&password={v}", f"https://{host}/api?access_token={v}&page=2", f"host={plain()} port=5432 user={user} password={v} dbname={plain()}"]), v
+        if kind == 22:
+            return g.choice([f"curl -u {user}:{v} https://{host}/", f"-u {user}:{v}", f"--user {user}:{v}", f"{user}:{v}@{host}", f"login {user} / password {v}", f"IDENTIFIED BY '{v}'", f"requirepass {v}", f"sshpass -p {v} ssh {user}@{host}", f"mysql -u{user} -p {v}", f"PGPASSWORD={v} psql", f"{user}'s password is {v}"]), v
+        if kind == 23:
+            v = some(b64, 16, 60) + g.choice(["", "=", "=="])
+            return g.choice([f"Authorization: Basic {v}", f"Proxy-Authorization: Basic {v}", f"Authorization: Bearer {v}", f"authorization: token {v}", f"\"auth\": \"{v}\"", f"_auth={v}", f"//registry.example.org/:_authToken={v}", f"X-Auth-Token: {v}", f"Cookie: session={v}"]), v
+        v = leet()
+        return g.choice([v, v, f"the old one was {v}", f"use {v} to log in", f"pw {v}"]), v
+
     def secret() -> tuple[str, str]:
-        kind = g.randrange(20)
+        kind = g.randrange(25)
+        if kind >= 20:
+            return structured(kind)
         if kind >= 14:
             marks = "!#$%&*@^?.,;~"
             plain = "".join(g.choice(syllables).replace("é", "e").replace("ä", "a").replace("ñ", "n") for _ in range(g.randint(2, 4)))
@@ -258,7 +356,7 @@ def labelled(n: int, seed: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np
             return (f"Bearer {v}", v) if g.random() < 0.5 else (v, v)
         if kind == 3:
             v = "MII" + some(b64, 40, 61)
-            return f"-----BEGIN {g.choice(['RSA ', 'EC ', ''])}PRIVATE KEY-----\n{v}", v
+            return f"{g.choice(['', '', 'key: ', 'private_key = ', 'ssh key: '])}-----BEGIN {g.choice(['RSA ', 'EC ', 'OPENSSH ', ''])}PRIVATE KEY-----\n{v}", v
         if kind <= 6:
             return assign(name(), some(hexes, *g.choice([(32, 32), (40, 40), (40, 40), (64, 64), (16, 20), (24, 28)])))
         if kind <= 9:
@@ -266,8 +364,38 @@ def labelled(n: int, seed: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np
             return assign(g.choice(["password", "passwd", "pwd", "pass", "PASSWORD", "db_password", "user_password"]), v)
         return assign(name(), some(b64, 24, 64))
 
+    def settings(kind: int) -> tuple[str, str]:
+        """Names of settings, headers, addresses and other runs with signs that give nothing away."""
+        if kind <= 25:
+            v = g.choice([name(), name(), "password", "Password", "AccountKey", "SharedAccessKey", "private_key", "username", "AccountName", "Authorization", "credentials", "secret", "token", "api_key", "PASSWORD", "passphrase", "clientSecret", "accessToken"])
+            return g.choice([f"see: {v}", f"{word()}: {v}", f"field = {v}", f"settings: {v}{g.choice([',', '.', ''])}", f"type: \"{v}\"", f"name={v}", f"the {v}: {plain()}", f"missing {v}", f"set {v} first", f"\"key\": \"{v}\"", f"columns: {v}, {plain()}", f"reset {v}:"]), v
+        if kind == 26:
+            v = g.choice(["-----BEGIN", "CERTIFICATE-----", "PRIVATE", "Basic", "Bearer", "MII" + some(b64, 40, 61)])
+            if v.startswith("MII"):
+                return f"-----BEGIN {g.choice(['CERTIFICATE', 'PUBLIC KEY', 'CERTIFICATE REQUEST'])}-----\n{v}", v
+            return {"-----BEGIN": f"{plain()}: {v} {g.choice(['CERTIFICATE', 'PUBLIC KEY', 'RSA PRIVATE KEY'])}-----", "CERTIFICATE-----": f"-----BEGIN {v}", "PRIVATE": f"{plain()}: {v} KEY", "Basic": f"Authorization: {v} {plain()}", "Bearer": f"Authorization: {v} {plain()}"}[v], v
+        if kind == 27:
+            host = f"{plain()}.example.{g.choice(['com', 'net', 'org'])}"
+            v = g.choice([f"{some(string.digits, 4)}", f"{plain()}{some(string.digits, 1, 3)}", "true", "utf-8", "3.11", f"{g.randint(1, 99)}", "https", plain(), f"{plain()}.{plain()}"])
+            return g.choice([f"https://{host}/search?q={v}&page=2", f"http://{host}:{g.randint(1000, 9999)}/x?id={v}", f"jdbc:postgresql://{host}:5432/app?user={v}", f"Server={v};Database={plain()};", f"lang={v}&sort=asc", f"host={v} port=5432", f"git@{host}:{v}", f"ssh {plain()}@{host} -p {v}"]), v
+        if kind == 28:
+            d = lambda a, b=None: some(string.digits, a, b)
+            v = g.choice([f"v{d(1)}.{d(1, 2)}.{d(1)}-rc{d(1)}", f"{d(1, 2)}.{d(1, 3)}.{d(1, 3)}.{d(1, 3)}:{d(4)}", f"{d(2)}:{d(2)}:{d(2)}", f"${d(1)},{d(3)}.{d(2)}", f"{d(1)},{d(3)},{d(3)}", f"{plain()}({plain()}{d(1)})", f"{plain()}_{plain()}[{d(1, 2)}]", f"{d(2)}/{d(2)}/20{d(2)}", f"20{d(2)}-0{g.randint(1, 9)}-1{d(1)}T1{d(1)}:{d(2)}:{d(2)}Z", f"{plain()}{d(1, 4)}@{plain()}.{g.choice(['com', 'net', 'org', 'de'])}", f"{plain()}.{plain()}{d(0, 4)}@{plain()}.example.com", f"{plain()}.{plain()}{d(1)}.{g.choice(['py', 'txt', 'tar.gz', 'html'])}", f"/{plain()}/{plain()}{d(1, 2)}/{plain()}.{g.choice(['c', 'log'])}", f"{plain()}-{d(2)}%", f"{plain()}:{d(2, 5)}", f"{d(2)}x{d(2)}px;{plain()}", f"&#{d(4)};{plain()}", f"{plain()}{d(1)}|{plain()}{d(1)}|{plain()}{d(1)}", f"{plain()}+{plain()}={d(2)}", f"{plain().capitalize()}{d(4)}.{plain()}", f"\\{plain()}\\{plain()}{d(2)}"])
+            return g.choice([v, v, f"at {v}", f"{plain()}: {v}", f"see {v}"]), v
+        if kind == 29:
+            v = g.choice([plain() + some(string.digits, 4, 9), some(string.digits, 6, 9) + plain(), some(string.ascii_lowercase, 8, 12) + some(string.digits, 1)])
+            return g.choice([v + g.choice(["!!!", "###", ".", "?", ")", ",", "***"]), f"({v})", f"user {v}", f"{v}:"]), v
+        if kind == 30:
+            v = g.choice([f"{plain()}.{plain()}{g.choice(['', some(string.digits, 1, 4)])}", f"{plain()}_{plain()}", plain() + some(string.digits, 1, 4), f"{plain()}-{plain()}", f"{plain()}+{plain()}"]) + "@" + g.choice([f"{plain()}.{g.choice(['com', 'net', 'org', 'de', 'fr', 'es'])}", f"mail{some(string.digits, 1, 4)}.example.com", f"{plain()}.example.{g.choice(['com', 'org'])}"])
+            return g.choice([v, v, f"mail {v}", f"contact: {v}", f"write to {v}", f"<{v}>", f"email = {v}", f"mailto:{v}"]), v
+        v = g.choice(["".join(plain() for _ in range(3)) + g.choice(["'s", "!", "-" + plain()]), plain() + g.choice(["/", "|", "+", "&"]) + plain() + some(string.digits, 1, 2), plain().capitalize() + " " + plain()])
+        v = v.split(" ")[-1]
+        return g.choice([f"{word()}: {v}", f"{plain()} = {v}", v]), v
+
     def harmless() -> tuple[str, str]:
-        kind = g.choice([*range(24), 0, 0, 2, 2, 4, 4])
+        kind = g.choice([*range(32), 0, 0, 2, 2, 4, 4, 24, 27, 28])
+        if kind >= 24:
+            return settings(kind)
         if kind == 20:
             v = "".join(g.choice(syllables) for _ in range(g.randint(1, 3)))
             return g.choice([f"{word()}: {v}", f"note: {v}", f"title = {v}", f"from: {v}"]), v
