@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .queries import evaluation, graph, mining, parsing, search  # noqa: F401
+from .queries import evaluation, formats, graph, mining, parsing, search  # noqa: F401
 from .queries.registry import ORACLES, QUERIES, Query
 
 FLAGSHIP = "a2_search_movies"

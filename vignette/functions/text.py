@@ -39,14 +39,22 @@ def slug(text: Column) -> Column:
 
 def is_noise_name(text: Column) -> Column:
     """True for null, empty and sign-only names; Unicode letters count as letters."""
-    name = squeeze(F.coalesce(text, F.lit("")))
+    return is_noise_squeezed(squeeze(F.coalesce(text, F.lit(""))))
+
+
+def is_noise_squeezed(name: Column) -> Column:
+    """The same for a name that squeeze() has been through."""
     return (name == "") | name.rlike(r"(?U)^[\W_]+$")
 
 
+def retrieval_words(text: Column) -> Column:
+    """Lower-case a-z0-9 words between word boundaries."""
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b([a-z0-9]+)\b"), 1)
+
+
 def retrieval_tokens(text: Column) -> Column:
-    """Lower-case a-z0-9 words between word boundaries, stop words and single characters dropped."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b([a-z0-9]+)\b"), 1)
-    return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(RETRIEVAL_STOPS))
+    """Those words without stop words and single characters."""
+    return F.filter(retrieval_words(text), lambda w: (F.length(w) > 1) & ~w.isin(RETRIEVAL_STOPS))
 
 
 def content_tokens(text: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import repair as R
-from ..functions.text import content_key, content_tokens, jaccard, strip, strip_fences, straight_quotes, word_count
+from ..functions.text import content_key, content_tokens, strip, strip_fences, straight_quotes, word_count
 from ..storage import stored
 
 NEAR = 0.85
@@ -74,27 +74,38 @@ def regenerated(rows: DataFrame, generate: Callable[[DataFrame], DataFrame], nam
 # --- greedy removal of near duplicates ------------------------------------------------------------------------------
 
 
+def _numbered(token: DataFrame) -> DataFrame:
+    """(t, id): every token with a number, rare tokens first. Ranges of the order are numbered side by side."""
+    often = token.groupBy("t").agg(F.count("*").alias("df"))
+    laid = often.repartitionByRange("df", "t").sortWithinPartitions("df", "t")
+    return stored(laid.select("t", F.monotonically_increasing_id().alias("id")), "tokens")
+
+
 def _pairs(sets: DataFrame, scope: list[str], least: float) -> DataFrame:
-    """(a, b): set ids of one scope with a Jaccard similarity of `least` or more, a < b. Two such sets share a token among the rarest
-    of each, so only prefixes of the token lists, rare first, are joined; the pairs are then verified."""
-    token = sets.select("sid", *scope, F.explode("tokens").alias("t"))
-    often = token.groupBy(*scope, "t").agg(F.count("*").alias("df"))
-    n = F.size("tokens")
-    listed = token.join(often, [*scope, "t"]).groupBy("sid", *scope).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda x: x["t"]).alias("tokens"))
-    prefix = listed.select("sid", *scope, n.alias("n"), F.explode(F.slice("tokens", F.lit(1), (n - F.ceil(n * F.lit(least) - 1e-9) + 1).cast("int"))).alias("t"))
-    left = prefix.select(*scope, "t", F.col("sid").alias("a"), F.col("n").alias("na"))
-    right = prefix.select(*scope, "t", F.col("sid").alias("b"), F.col("n").alias("nb"))
-    near = left.join(right, [*scope, "t"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))).select("a", "b").distinct()
-    full = sets.select("sid", "tokens")
-    both = near.join(full.withColumnsRenamed({"sid": "a", "tokens": "ta"}), "a").join(full.withColumnsRenamed({"sid": "b", "tokens": "tb"}), "b")
-    return both.where(jaccard(F.col("ta"), F.col("tb")) >= least).select("a", "b")
+    """(a, b): set ids of one scope with a Jaccard similarity of `least` or more, a < b. Tokens become numbers, rare ones
+    first. Two such sets share a number among the first few of each, so only these are joined; what stands behind the
+    shared number on either side bounds the overlap, and pairs that cannot reach it go before the sets are compared."""
+    token = sets.select("sid", F.explode("tokens").alias("t"))
+    listed = token.join(_numbered(token), "t").groupBy("sid").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    coded = stored(listed.join(sets.select("sid", *scope), "sid").withColumn("n", F.size("ids")), "coded")
+    n = F.col("n")
+    prefix = coded.select("sid", *scope, "n", F.posexplode(F.slice("ids", F.lit(1), (n - F.ceil(n * F.lit(least) - 1e-9) + 1).cast("int"))).alias("p", "t"))
+    left = prefix.select(*scope, "t", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"))
+    right = prefix.select(*scope, "t", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"))
+    overlap = F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - 1e-6
+    reach = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    near = left.join(right, [*scope, "t"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb")) & (reach >= overlap)).select("a", "b").distinct()
+    full = coded.select("sid", "ids", "n")
+    both = near.join(full.withColumnsRenamed({"sid": "a", "ids": "ia", "n": "na"}), "a").join(full.withColumnsRenamed({"sid": "b", "ids": "ib", "n": "nb"}), "b")
+    shared = F.size(F.array_intersect("ia", "ib"))
+    return both.where(shared / (F.col("na") + F.col("nb") - shared) >= least).select("a", "b")
 
 
 def greedy_survivors(rows: DataFrame, scope: list[str], priority: list[Column], query: str = "cleaned_query", row_id: str = "row_id", least: float = NEAR) -> DataFrame:
     """(row_id, verdict): survivor, exact or near, as if the rows of each scope were taken in the order of `priority` and
     each was dropped that resembles a survivor. The result is the first maximal independent set of the graph of
     near pairs, found in rounds: a row that waits for no better neighbour survives, and its neighbours go. Rows of one token set resolve as one, so
-    that many copies cost one row each. A round is a stored table."""
+    that many copies cost one row each. A round is one stored table, of the sets that are gone."""
     tokens = F.array_sort(F.array_distinct(content_tokens(F.col(query))))
     keyed = rows.select(row_id, *scope, content_key(F.col(query)).alias("key"), tokens.alias("tokens"), F.struct(*priority, F.col(row_id).alias("__id")).alias("p"))
     keyed = stored(keyed, "keyed")
@@ -104,16 +115,19 @@ def greedy_survivors(rows: DataFrame, scope: list[str], priority: list[Column],
     near = _pairs(sets.where(F.size("tokens") > 0), scope, least)
     ranked = near.join(rank.withColumnsRenamed({"sid": "a", "p": "pa"}), "a").join(rank.withColumnsRenamed({"sid": "b", "p": "pb"}), "b")
     first = F.col("pa") < F.col("pb")
-    open_ = stored(ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lo")), "open")
+    edges = stored(ranked.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("hi"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("lo")), "edges")
     gone = None
-    while not open_.isEmpty():
-        safe = open_.select("hi").distinct().join(open_.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti")
-        lost = stored(open_.join(safe, "hi").select("lo").distinct(), "lost")
-        gone = lost if gone is None else gone.unionByName(lost)
-        open_ = stored(open_.join(lost, "lo", "left_anti").join(lost.withColumnRenamed("lo", "hi"), "hi", "left_anti"), "open")
+    while True:  # a round loses at least the neighbours of the best row that is still open
+        open_ = edges if gone is None else edges.join(gone.select(F.col("sid").alias("lo")), "lo", "left_anti").join(gone.select(F.col("sid").alias("hi")), "hi", "left_anti")
+        safe = open_.join(open_.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti")
+        lost = safe.select(F.col("lo").alias("sid"), F.lit(True).alias("new")).distinct()
+        now = stored(lost if gone is None else lost.unionByName(gone.withColumn("new", F.lit(False))), "gone")
+        if now.where("new").isEmpty():
+            break
+        gone = now.select("sid")
     lead = sets.select("sid", *scope, "tokens")
     if gone is not None:
-        lead = lead.join(gone.withColumnRenamed("lo", "sid"), "sid", "left_anti")
+        lead = lead.join(gone, "sid", "left_anti")
     kept = keyed.join(lead.select(F.col("sid").alias(row_id)), row_id, "left_semi").select(row_id, *scope, "key")
     same = kept.select(*scope, "key").distinct().withColumn("twin", F.lit(True))
     told = keyed.select(row_id, *scope, "key").join(same, [*scope, "key"] if scope else "key", "left").join(kept.select(row_id, F.lit(True).alias("stays")), row_id, "left")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
+from ..functions.text import strip_fences
 from ..functions.vocabulary import ENTITY_TYPES, NOT_REFLEXIVE, PREDICATES
+from ..storage import stored
 
 # --- rule-based cleaning of extracted entities -----------------------------------------------------------------------
 
@@ -79,7 +85,7 @@ def coverage(scripts: DataFrame, entity_files: DataFrame, key: str = "movie_id")
 def normalize_entities(raw: DataFrame) -> DataFrame:
     """raw (movie_id, name, entity_type) to (movie_id, entity_id, canonical_name, entity_type), one per id."""
     rows = raw.select("movie_id", text.squeeze(F.coalesce("name", F.lit(""))).alias("canonical_name"), F.upper(text.squeeze(F.coalesce("entity_type", F.lit("")))).alias("entity_type"))
-    rows = rows.where(~text.is_noise_name(F.col("canonical_name")) & F.col("entity_type").isin(ENTITY_TYPES))
+    rows = rows.where(~text.is_noise_squeezed(F.col("canonical_name")) & F.col("entity_type").isin(ENTITY_TYPES))
     rows = rows.withColumn("entity_id", ids.entity_id(F.col("movie_id"), F.col("entity_type"), F.col("canonical_name")))
     return rows.groupBy("movie_id", "entity_id").agg(F.min("canonical_name").alias("canonical_name"), F.first("entity_type").alias("entity_type"))
 
@@ -102,7 +108,7 @@ def judged_relations(raw: DataFrame, entities: DataFrame) -> DataFrame:
         rows = rows.join(end, ["movie_id", f"__{side}"], "left")
     reason = (
         F.when(F.col("__malformed"), "malformed_relation")
-        .when(text.is_noise_name(F.col("__from")) | text.is_noise_name(F.col("__to")), "blank_entity_name")
+        .when(text.is_noise_squeezed(F.col("__from")) | text.is_noise_squeezed(F.col("__to")), "blank_entity_name")
         .when(F.col("evidence") == "", "empty_evidence")
         .when(~F.col("predicate").isin(PREDICATES), "invalid_predicate")
         .when(~F.col("__ft").isin(ENTITY_TYPES) | ~F.col("__tt").isin(ENTITY_TYPES), "invalid_entity_type")
@@ -113,17 +119,79 @@ def judged_relations(raw: DataFrame, entities: DataFrame) -> DataFrame:
     return rows.withColumn("reason", reason).withColumnsRenamed({"__from": "from_canonical", "__to": "to_canonical"}).drop("__malformed", "__ft", "__tt")
 
 
-def normalize_relations(raw: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept relations, one per relation_id; dropped relations with their reason)."""
-    rows = judged_relations(raw, entities)
-    dropped = rows.where("reason IS NOT NULL").select(*raw.columns, "reason")
+def split_judged(rows: DataFrame, raw_columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(kept relations, one per relation_id; dropped relations with their reason) of judged_relations()."""
+    dropped = rows.where("reason IS NOT NULL").select(*raw_columns, "reason")
     made = ids.relation_id(F.col("movie_id"), F.col("from_id"), F.col("predicate"), F.col("to_id"), F.col("evidence"))
     kept = rows.where("reason IS NULL").select("movie_id", made.alias("relation_id"), "from_id", F.col("from_canonical").alias("from_name"), F.col("from_entity_type").alias("from_type"), "to_id", F.col("to_canonical").alias("to_name"), F.col("to_entity_type").alias("to_type"), "predicate", "evidence")
     return kept.dropDuplicates(["relation_id"]), dropped
 
 
+def normalize_relations(raw: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(kept relations, one per relation_id; dropped relations with their reason)."""
+    return split_judged(judged_relations(raw, entities), raw.columns)
+
+
+def documents(raw_entities: DataFrame, raw_relations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, kept relations, dropped relations) of raw ones. Entities and judged relations are stored, as all three
+    results and every step of a path read them."""
+    entities = stored(normalize_entities(raw_entities), "entities")
+    kept, dropped = split_judged(stored(judged_relations(raw_relations, entities), "judged"), raw_relations.columns)
+    return entities, kept, dropped
+
+
+def filtered_entities(entities: DataFrame, choose: Callable[[list[dict]], list[dict]] | None, by: str = "movie_id", order: str = "ord") -> DataFrame:
+    """(by, text, label, order): what a model leaves of a movie's entities. choose takes a movie's entities ({text, label}, in
+    order) and returns those that stay, corrected ones too; without it, or where it fails, the movie's entities stay as
+    they are. A movie's entities are one call, so they meet in one task."""
+    rows = entities.select(by, "text", "label", F.col(order).cast("bigint").alias(order))
+    if choose is None:
+        return rows
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(order, kind="stable")
+        try:
+            told = choose(frame[["text", "label"]].to_dict("records"))
+            made = pd.DataFrame([(frame[by].iloc[0], e["text"], e["label"], i) for i, e in enumerate(told)], columns=[by, "text", "label", order])
+        except Exception:  # a filter is somebody else's code
+            return frame[[by, "text", "label", order]]
+        return made
+
+    return rows.groupBy(by).applyInPandas(run, rows.schema)
+
+
+def extracted_relations(texts: DataFrame, entities: DataFrame, extract: Callable[[str, list[str]], str], by: str = "movie_id", text: str = "text") -> DataFrame:
+    """(by, from_name, from_type, to_name, to_type, label, evidence, ord): what a model reads from the texts (by, text), as far
+    as it keeps to the rules of valid_relations(). extract takes a text and the movie's names and returns JSON, an object
+    with `relations` or a list; a reply that is no JSON, or a call that fails, gives no relation."""
+    names = entities.groupBy(by).agg(F.array_sort(F.collect_set("text")).alias("names"))
+    asked = texts.select(by, F.col(text).alias("text")).join(names, by)
+
+    @F.arrow_udf("string")
+    def ask(text: pa.Array, names: pa.Array) -> pa.Array:
+        out = []
+        for t, n in zip(text.to_pylist(), names.to_pylist()):
+            try:
+                out.append(extract(t, n))
+            except Exception:  # an extractor is somebody else's code
+                out.append(None)
+        return pa.array(out, pa.string())
+
+    one = "struct<from:string,from_type:string,to:string,to_type:string,label:string,evidence:string>"
+    reply = strip_fences(F.col("reply"))
+    told = asked.select(by, ask("text", "names").alias("reply")).select(by, F.coalesce(F.from_json(reply, f"struct<relations:array<{one}>>")["relations"], F.from_json(reply, f"array<{one}>")).alias("l"))
+    flat = told.select(by, F.posexplode("l").alias("ord", "r")).where("r.label IS NOT NULL")
+    rows = flat.select(by, F.col("r.from").alias("from_name"), "r.from_type", F.col("r.to").alias("to_name"), "r.to_type", "r.label", "r.evidence", "ord")
+    return valid_relations(rows, entities, [by])
+
+
 def titled(movies: DataFrame, key: str = "movie_id") -> DataFrame:
-    return movies.withColumn("title", F.replace(F.col(key), F.lit("-"), F.lit(" ")))
+    """movies with source_file and title. The file is the one that the entities name, else the relations (columns
+    entity_file and relation_file, as far as there are any), else <key>.txt; the title is its stem with spaces for dashes."""
+    blank = lambda c: F.when(F.col(c) != "", F.col(c)) if c in movies.columns else F.lit(None).cast("string")
+    rows = movies.withColumn("source_file", F.coalesce(blank("entity_file"), blank("relation_file"), F.concat(F.col(key), F.lit(".txt"))))
+    stem = F.regexp_replace(F.regexp_extract("source_file", r"([^/]*)/*$", 1), r"(?<=.)\.[^.]*$", "")
+    return rows.withColumn("title", F.replace(stem, F.lit("-"), F.lit(" ")))
 
 
 # --- the graph as two tables -----------------------------------------------------------------------------------------

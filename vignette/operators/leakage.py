@@ -20,12 +20,14 @@ def forbidden_titles(movies: DataFrame, name: str = "name") -> DataFrame:
 
 def other_titles(queries: DataFrame, titles: DataFrame) -> DataFrame:
     """(query_id, others): the forbidden titles that stand in a query as whole words, its own left out. An equi-join on the
-    title's first word finds the candidates, so queries and titles are never crossed."""
+    title's first word finds the candidates, so queries and titles are never crossed; only ids and words take part in it,
+    and the text comes back once a query, with the list of its candidates."""
     asked = queries.select("query_id", F.lower("query").alias("q"), F.lower("movie_title").alias("own"))
-    word = asked.select("query_id", "q", "own", F.explode(F.array_distinct(L.word_tokens(F.col("q")))).alias("first"))
-    pair = word.join(titles, "first").where((F.col("title") != F.col("own")) & F.contains("q", F.col("title")))
-    whole = F.rlike("q", F.concat(F.lit(r"(?U)\b\Q"), F.col("title"), F.lit(r"\E\b")))
-    return pair.where(whole).groupBy("query_id").agg(F.array_sort(F.collect_set("title")).alias("others"))
+    word = asked.select("query_id", F.explode(F.array_distinct(L.word_tokens(F.col("q")))).alias("first"))
+    near = word.join(titles, "first").groupBy("query_id").agg(F.collect_set("title").alias("near"))
+    whole = lambda t: F.contains("q", t) & F.rlike("q", F.concat(F.lit(r"(?U)\b\Q"), t, F.lit(r"\E\b")))
+    found = asked.join(near, "query_id").select("query_id", F.array_sort(F.filter("near", lambda t: (t != F.col("own")) & whole(t))).alias("others"))
+    return found.where(F.size("others") > 0)
 
 
 def check(queries: DataFrame, titles: DataFrame, strictness: str = "medium") -> DataFrame:

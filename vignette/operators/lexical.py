@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import retrieval_tokens
+from ..functions.text import RETRIEVAL_STOPS, retrieval_words, strip
+from ..storage import stored
+from .parse import RANKING_SCENES, split_scenes
 
 
 @dataclass(frozen=True)
@@ -24,29 +26,51 @@ class Okapi:
 @dataclass(frozen=True)
 class Index:
     docs: DataFrame  # doc_id, movie_key
-    postings: DataFrame  # doc_id, dl, term, tf
+    postings: DataFrame  # doc_id, term, tf
     terms: DataFrame  # term, idf
     stats: DataFrame  # n, avgdl
+    lengths: DataFrame  # doc_id, dl
+
+
+def _terms(rows: DataFrame, text: str, *carry: str) -> DataFrame:
+    """One row per retrieval token. Words are exploded first, so that the tests on them are plain compiled filters."""
+    words = rows.select(*carry, F.explode(retrieval_words(F.coalesce(text, F.lit("")))).alias("term"))
+    return words.where((F.length("term") > 1) & ~F.col("term").isin(RETRIEVAL_STOPS))
 
 
 def build(docs: DataFrame, okapi: Okapi = Okapi(), doc_id: str = "doc_id", movie: str = "movie_key", text: str = "text") -> Index:
-    """An index over (doc_id, movie_key, text). Documents without a token count in the statistics."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(movie).alias("movie_key"), retrieval_tokens(F.coalesce(text, F.lit(""))).alias("tokens"))
-    stats = rows.agg(F.count("*").cast("double").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
-    postings = rows.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").cast("double").alias("tf"))
-    found = postings.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n")))
+    """An index over (doc_id, movie_key, text). Documents without a token count in the statistics. The postings are stored
+    once and everything else is made of them; texts are read once."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(movie).alias("movie_key"), F.col(text).alias("text"))
+    tf = stored(_terms(rows, "text", "doc_id").groupBy("doc_id", "term").agg(F.count("*").cast("double").alias("tf")), "postings")
+    lengths = tf.groupBy("doc_id").agg(F.sum("tf").cast("int").alias("dl"))
+    total = tf.agg(F.coalesce(F.sum("tf"), F.lit(0.0)).alias("t"))
+    stats = rows.agg(F.count("*").cast("double").alias("n")).crossJoin(total).select("n", F.when(F.col("n") > 0, F.col("t") / F.col("n")).alias("avgdl"))
+    found = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats.select("n")))
     raw = found.select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     floor = raw.agg((F.avg("raw") * okapi.epsilon).alias("floor"))
     terms = raw.crossJoin(F.broadcast(floor)).select("term", F.when(F.col("raw") < 0, F.col("floor")).otherwise(F.col("raw")).alias("idf"))
-    return Index(rows.select("doc_id", "movie_key"), postings, terms, stats)
+    return Index(rows.select("doc_id", "movie_key"), tf, terms, stats, lengths)
+
+
+def corpus(metadata: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents (doc_id, movie_key, movie_name, text), missing (movie_key)): the scenes of every movie of the metadata (key,
+    name, file_name) whose script is among the texts (file_name, text), or the whole script where no scene is found. A movie
+    without a file name is left out; one whose script is not there or blank is missing."""
+    named = metadata.where("file_name IS NOT NULL AND file_name <> ''").select(F.col("key").alias("movie_key"), F.coalesce("name", "key").alias("movie_name"), "file_name")
+    both = named.join(texts.select("file_name", "text"), "file_name", "left").withColumn("there", F.coalesce(strip(F.col("text")) != "", F.lit(False)))
+    scenes = split_scenes(F.col("text"), **RANKING_SCENES)
+    cut = both.where("there").select("movie_key", "movie_name", F.posexplode(F.when(F.size(scenes) > 0, scenes).otherwise(F.array("text"))).alias("i", "text"))
+    return cut.select(F.concat("movie_key", F.lit("#"), "i").alias("doc_id"), "movie_key", "movie_name", "text"), both.where("NOT there").select("movie_key")
 
 
 def scores(index: Index, queries: DataFrame, okapi: Okapi = Okapi(), query_id: str = "query_id", text: str = "text") -> DataFrame:
     """(query_id, doc_id, score) of the documents that share a term with the query; a repeated term counts again."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(retrieval_tokens(F.coalesce(text, F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hit = asked.join(index.terms, "term").join(index.postings, "term").crossJoin(F.broadcast(index.stats.select("avgdl")))
+    asked = _terms(queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("asked")), "asked", "query_id").groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    weighed = asked.join(index.terms, "term").select("query_id", "term", (F.col("times") * F.col("idf")).alias("w"))
+    hit = weighed.join(index.postings, "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(index.stats.select("avgdl")))
     tf, length = F.col("tf"), F.col("dl") / F.col("avgdl")
-    part = F.col("times") * F.col("idf") * tf * (okapi.k1 + 1) / (tf + okapi.k1 * (1 - okapi.b + okapi.b * length))
+    part = F.col("w") * tf * (okapi.k1 + 1) / (tf + okapi.k1 * (1 - okapi.b + okapi.b * length))
     return hit.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
 
 

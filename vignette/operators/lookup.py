@@ -37,3 +37,16 @@ def id_from_title(rows: DataFrame, movies: DataFrame, column: str = "title") ->
     known = movies.groupBy(alnum_key(F.col("name")).alias("n")).agg(F.min("key").alias("found"))
     made = F.regexp_replace(F.regexp_replace(F.lower(column), "[^a-z0-9_]", "_"), "^_+|_+$", "")
     return rows.withColumn("n", alnum_key(F.col(column))).join(known, "n", "left").withColumn("movie_id", F.coalesce("found", made)).drop("n", "found")
+
+
+def relations_files(rows: DataFrame, listing: DataFrame, column: str = "title") -> DataFrame:
+    """rows with relations_file: the listed <title>_relations.json (path) that agrees with the title in letters and digits,
+    null if there is none; of several the first."""
+    known = discovered_movies(listing).groupBy(alnum_key(F.col("title")).alias("n")).agg(F.min("path").alias("relations_file"))
+    return rows.withColumn("n", alnum_key(F.col(column))).join(known, "n", "left").drop("n")
+
+
+def discovered_movies(listing: DataFrame) -> DataFrame:
+    """(title, path) of the relation files in a listing (path); dashes in a name are spaces in the title."""
+    name = F.regexp_extract("path", r"([^/]*)_relations\.json$", 1)
+    return listing.where(F.col("path").endswith("_relations.json")).select(F.replace(name, F.lit("-"), F.lit(" ")).alias("title"), "path")

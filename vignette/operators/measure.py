@@ -14,27 +14,36 @@ def first_hits(targets: DataFrame, results: DataFrame) -> DataFrame:
     return targets.join(hit, "query_id", "left")
 
 
-def upper_median(ranks: Column) -> Column:
-    """The element at half the length of the sorted list, nulls left out; null if none is left."""
-    listed = F.array_sort(F.collect_list(ranks))
-    return F.get(listed, F.floor(F.size(listed) / 2).cast("int"))
+def upper_median(counted: Column) -> Column:
+    """Of an array of struct(rank, n), sorted by rank: the element at half the length of the list in which each rank stands n
+    times; null if it is empty."""
+    half = F.floor(F.aggregate(counted, F.lit(0).cast("bigint"), lambda a, x: a + x["n"]) / 2)
+    start = F.struct(F.lit(0).cast("bigint").alias("seen"), F.lit(None).cast("int").alias("found"))
+
+    def step(acc: Column, x: Column) -> Column:
+        seen = acc["seen"] + x["n"]
+        return F.struct(seen.alias("seen"), F.when(acc["found"].isNull() & (seen > half), x["rank"].cast("int")).otherwise(acc["found"]).alias("found"))
+
+    return F.aggregate(counted, start, step, lambda acc: acc["found"])
 
 
 def report(hits: DataFrame, ks: Sequence[int] = (5, 10, 15, 20), digits: int = 3, failed_beyond: int | None = 20) -> DataFrame:
     """One row: total_queries, correct_at_k and accuracy_at_k, mrr, median_rank, failed. Averages of nothing are null.
-    failed_beyond=None means the largest k."""
+    failed_beyond=None means the largest k. Queries are counted per rank first, so that the row holds a number for each rank
+    and not one for each query."""
     beyond = max(ks) if failed_beyond is None else failed_beyond
-    n = F.count("*")
-    some = F.when(n > 0, n)
-    count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("bigint")
-    correct = [count(F.col("rank") <= k) for k in ks]
-    return hits.agg(
-        n.alias("total_queries"),
+    n, rank = F.col("n"), F.col("rank")
+    total = F.coalesce(F.sum(n), F.lit(0)).cast("bigint")
+    count = lambda c: F.coalesce(F.sum(F.when(c, n).otherwise(0)), F.lit(0)).cast("bigint")
+    correct = [count(rank <= k) for k in ks]
+    some = F.when(total > 0, total)
+    return hits.groupBy("rank").agg(F.count("*").alias("n")).agg(
+        total.alias("total_queries"),
         *[c.alias(f"correct_at_{k}") for c, k in zip(correct, ks)],
         *[F.round(c / some, 6).alias(f"accuracy_at_{k}") for c, k in zip(correct, ks)],
-        F.round(F.avg(F.coalesce(F.lit(1.0) / F.col("rank"), F.lit(0.0))), digits).alias("mrr"),
-        upper_median(F.col("rank")).alias("median_rank"),
-        count(F.col("rank").isNull() | (F.col("rank") > beyond)).alias("failed"),
+        F.round(F.sum(F.coalesce(n / rank, F.lit(0.0))) / some, digits).alias("mrr"),
+        upper_median(F.array_sort(F.collect_list(F.when(rank.isNotNull(), F.struct(rank, n))))).alias("median_rank"),
+        count(rank.isNull() | (rank > beyond)).alias("failed"),
     )
 
 

@@ -2,8 +2,12 @@
 
 A single query vector is a literal: one projection and a top-k. A batch is a join of blocks: queries and corpus are
 packed into rows of many vectors, every pair of blocks is one matrix product in an Arrow batch and yields the k best
-of the block; a window ranks what is left. No side is collected or has to fit a broadcast, and only ids and scores leave
-the product.
+of the block; a window ranks what is left. Packing needs no shuffle. No side is collected or has to fit a broadcast,
+and only ids and scores leave the product. The work is queries times corpus by nature: for large corpora use the
+inverted lists of operators/index.py, which compare a query with the lists that it probes.
+
+Rows without id or vector take no part, on either side; a vector with a null part counts as none; vectors of different
+lengths fail the query.
 """
 
 from __future__ import annotations
@@ -28,11 +32,33 @@ def search(corpus: DataFrame, query: Sequence[float], k: int = 20, key: Sequence
 
 
 def _blocks(rows: DataFrame, id_col: str, vector: str, size: int, prefix: str, group: str | None, keep: bool) -> DataFrame:
-    """Rows of up to `size` vectors. With keep, a block holds one group only; else every vector brings its group's hash."""
+    """Rows of up to `size` vectors that lie together. With keep, a block holds one group only; else every vector brings its
+    group's hash."""
     code = F.xxhash64(group) if group else F.lit(0).cast("bigint")
-    numbered = rows.select(F.col(id_col).cast("bigint").alias("i"), F.col(vector).cast("array<double>").alias("v"), code.alias("g"), F.monotonically_increasing_id().alias("m"), *([F.col(group).alias("group")] if keep else []))
-    block = numbered.groupBy(F.shiftright("m", 33).alias("part"), F.floor(F.col("m").bitwiseAND((1 << 33) - 1) / size).alias("nth"), *(["group"] if keep else []))
-    return block.agg(F.collect_list("i").alias(f"{prefix}_ids"), F.flatten(F.collect_list("v")).alias(f"{prefix}_flat"), F.collect_list("g").alias(f"{prefix}_groups")).drop("part", "nth")
+    sound = F.col(id_col).isNotNull() & F.col(vector).isNotNull() & ~F.exists(F.coalesce(F.col(vector), F.array()), lambda x: x.isNull())
+    flat = rows.where(sound).select(F.col(id_col).cast("bigint").alias("i"), F.col(vector).cast("array<double>").alias("v"), code.alias("g"), *([F.col(group).alias("group")] if keep else []))
+    kind = f", group {flat.schema['group'].dataType.simpleString()}" if keep else ""
+
+    def pack(batches):
+        for batch in batches:
+            if keep:
+                batch = pa.Table.from_batches([batch]).sort_by("g").combine_chunks().to_batches()[0] if batch.num_rows else batch
+            edge = batch.column(1).offsets.to_numpy()
+            wide = np.diff(edge)
+            if len(wide) and (wide != wide[0]).any():
+                raise ValueError(f"vectors of different lengths: {sorted(set(wide.tolist()))[:5]}")
+            code = batch.column(2).to_numpy()
+            turn = (np.flatnonzero(np.diff(code)) + 1).tolist() if keep else []
+            cuts = [0, *turn, len(code)]
+            starts = [(a, min(a + size, d)) for c, d in zip(cuts[:-1], cuts[1:]) for a in range(c, d, size)]
+            if not starts:
+                continue
+            lists = lambda column, scale: pa.ListArray.from_arrays(pa.array(np.array([starts[0][0], *[b for _, b in starts]], np.int32) * scale), column)
+            width = int(wide[0])
+            made = [lists(batch.column(0), 1), lists(batch.column(1).flatten(), width), lists(batch.column(2), 1)]
+            yield pa.RecordBatch.from_arrays([*made, *([batch.column(3).take(pa.array([a for a, _ in starts]))] if keep else [])], [f"{prefix}_ids", f"{prefix}_flat", f"{prefix}_groups", *(["group"] if keep else [])])
+
+    return flat.mapInArrow(pack, f"{prefix}_ids array<bigint>, {prefix}_flat array<double>, {prefix}_groups array<bigint>{kind}")
 
 
 def block_top_k(queries: DataFrame, corpus: DataFrame, k: int, query_id: str = "query_id", query: str = "q", corpus_id: str = "vec_id", vector: str = "embedding", exclude_same: bool = False, block: int = 1024, same: str | None = None, other: str | None = None) -> DataFrame:

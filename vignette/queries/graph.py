@@ -10,13 +10,22 @@ from ..functions.vocabulary import NOT_REFLEXIVE, PREDICATES
 from ..operators import fuse, graph, nearest, search
 from ..plans.pattern import Pattern, compile_pattern
 from ..sources import views
+from ..storage import stored
 from .registry import cosine_sql, query
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    entities = graph.normalize_entities(views.raw_entities(spark, sf_dir))
-    kept, dropped = graph.normalize_relations(views.raw_relations(spark, sf_dir), entities)
-    return entities, kept, dropped
+    raw = stored(views.raw_relations(spark, sf_dir), "relations")
+    return graph.documents(views.entities_of(raw), raw)
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.normalize_entities(views.raw_entities(spark, sf_dir))
+
+
+def _relations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored, as every step of a path reads them."""
+    return stored(_graph(spark, sf_dir)[1], "graph")
 
 
 _SLUG = r"coalesce(nullif(regexp_replace(regexp_replace(lower({0}), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), ''), 'unknown')"
@@ -30,7 +39,7 @@ rels AS (SELECT movie_id, concat(movie_id, ':rel:', substr(sha1(concat_ws('||',
 
 @query("SELECT movie_id, entity_id, canonical_name, entity_type FROM ents", ("v_relations", "v_entities"), _NORMAL)
 def g12_normalize_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark, sf_dir)[0].select("movie_id", "entity_id", "canonical_name", "entity_type")
+    return _entities(spark, sf_dir).select("movie_id", "entity_id", "canonical_name", "entity_type")
 
 
 @query("SELECT * FROM rels", ("v_relations", "v_entities"), _NORMAL)
@@ -45,12 +54,12 @@ def g14_dropped_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT movie_id, canonical_name, arg_max(entity_id, entity_type) AS entity_id, max(entity_type) AS entity_type FROM ents GROUP BY movie_id, canonical_name", ("v_relations", "v_entities"), _NORMAL)
 def g13_name_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.name_index(_graph(spark, sf_dir)[0]).select("movie_id", "canonical_name", "entity_id", "entity_type")
+    return graph.name_index(_entities(spark, sf_dir)).select("movie_id", "canonical_name", "entity_id", "entity_type")
 
 
 @query("SELECT movie_id, replace(movie_id, '-', ' ') AS title, count(*) AS entities FROM ents GROUP BY movie_id", ("v_relations", "v_entities"), _NORMAL)
 def g16_movie_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    movies = _graph(spark, sf_dir)[0].groupBy("movie_id").agg(F.count("*").alias("entities"))
+    movies = _entities(spark, sf_dir).groupBy("movie_id").agg(F.count("*").alias("entities"))
     return graph.titled(movies).select("movie_id", "title", "entities")
 
 
@@ -88,28 +97,28 @@ def _flat(matches: DataFrame) -> DataFrame:
 
 @query("SELECT movie_id, round(1.0::DOUBLE + len(list_distinct([from_id, to_id])) / 100.0::DOUBLE, 6) AS score, concat_ws(' ', from_id, to_id) AS nodes, relation_id AS rels FROM rels WHERE predicate = 'OWES'", ("v_relations", "v_entities"), _NORMAL)
 def g21_pattern_one(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(compile_pattern(Pattern(["owes"]), _graph(spark, sf_dir)[1], top=False))
+    return _flat(compile_pattern(Pattern(["owes"]), _relations(spark, sf_dir), top=False))
 
 
 @query(_TWO.format("TEACHES", "BETRAYS"), ("v_relations", "v_entities"), _NORMAL)
 def g21_pattern_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(compile_pattern(Pattern(["TEACHES", "BETRAYS"]), _graph(spark, sf_dir)[1], top=False))
+    return _flat(compile_pattern(Pattern(["TEACHES", "BETRAYS"]), _relations(spark, sf_dir), top=False))
 
 
 @query("SELECT a.movie_id, round(3.0::DOUBLE + len(list_distinct([a.from_id, a.to_id, b.to_id, c.to_id])) / 100.0::DOUBLE, 6) AS score, concat_ws(' ', a.from_id, a.to_id, b.to_id, c.to_id) AS nodes, concat_ws(' ', a.relation_id, b.relation_id, c.relation_id) AS rels FROM rels a JOIN rels b ON a.movie_id = b.movie_id AND a.to_id = b.from_id JOIN rels c ON b.movie_id = c.movie_id AND b.to_id = c.from_id WHERE a.predicate = 'OWES' AND b.predicate = 'BETRAYS' AND c.predicate = 'TEACHES'", ("v_relations", "v_entities"), _NORMAL)
 def g21_pattern_three(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(compile_pattern(Pattern(["OWES", "BETRAYS", "TEACHES"]), _graph(spark, sf_dir)[1], top=False))
+    return _flat(compile_pattern(Pattern(["OWES", "BETRAYS", "TEACHES"]), _relations(spark, sf_dir), top=False))
 
 
 @query(f"SELECT * FROM ({_TWO.format('LOVES', 'OWES')} AND a.from_type IN ('PERSON', 'ORG', 'GPE') AND a.to_type IN ('PERSON', 'ORG', 'GPE') AND b.to_type IN ('PERSON', 'ORG', 'GPE')) ORDER BY score DESC, movie_id, nodes, rels LIMIT 50", ("v_relations", "v_entities"), _NORMAL)
 def g21_pattern_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(compile_pattern(Pattern(["LOVES", "OWES"], entity_types=["person", "org", "gpe"], limit=50), _graph(spark, sf_dir)[1]))
+    return _flat(compile_pattern(Pattern(["LOVES", "OWES"], entity_types=["person", "org", "gpe"], limit=50), _relations(spark, sf_dir)))
 
 
 @query("SELECT movie_id, entity_id, CASE WHEN movie_id < '2024-01-11' THEN upper(canonical_name) ELSE canonical_name END AS canonical_name, entity_type FROM ents", ("v_relations", "v_entities"), _NORMAL)
 def g17_replace_movies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The movies of the first days are replaced by themselves in capitals; the others stay."""
-    entities = _graph(spark, sf_dir)[0]
+    entities = _entities(spark, sf_dir)
     fresh = entities.where("movie_id < '2024-01-11'").withColumn("canonical_name", F.upper("canonical_name"))
     return graph.replace_movies(entities, fresh).select("movie_id", "entity_id", "canonical_name", "entity_type")
 

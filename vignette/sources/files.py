@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +31,29 @@ def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.when(good, F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1")).alias("text"))
 
 
+def write_texts(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes every row (name, text) as a file of its own and returns (path); text is a string, written as UTF-8, or binary.
+    Files go through pyarrow's file system of the folder's scheme, so the folder may be on any storage that all executors
+    reach. A task that runs again writes the same files again."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        remote = re.match(r"[a-z][a-z0-9+.-]*:", folder) and not folder.startswith("file:")
+        if remote:
+            where, base = fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", folder))
+        else:
+            where, base = fs.LocalFileSystem(), re.sub(r"^file:(//(?=/))?", "", folder)
+        where.create_dir(base)
+        for batch in batches:
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                with where.open_output_stream(f"{base}/{name}", compression=None) as out:
+                    out.write(text.encode() if isinstance(text, str) else text or b"")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n in batch.column(0).to_pylist()], pa.string())], ["path"])
+
+    return rows.select("name", "text").mapInArrow(run, "path string")
+
+
 def tagged_scripts(spark: SparkSession, path: str) -> DataFrame:
     """(movie_id, line_no, tag, content) of tagged files; bytes that are not UTF-8 become replacement characters."""
     raw = spark.read.text(path, wholetext=True).select(F.make_valid_utf8("value").alias("value"), F.input_file_name().alias("path"))
@@ -64,6 +90,12 @@ def extracted(spark: SparkSession, entities: str, relations: str | None = None)
     return found, r.select("movie_id", F.col("r.from").alias("from_name"), "r.from_type", F.col("r.to").alias("to_name"), "r.to_type", "r.label", "r.evidence", "ord")
 
 
+def available_movie_ids(spark: SparkSession, entities: str) -> DataFrame:
+    """(movie_id) of the entity files in a folder; their contents are not read."""
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*_entities.json").load(entities).select("path")
+    return paths.select(F.regexp_replace(stem(F.col("path")), "_entities$", "").alias("movie_id")).orderBy("movie_id")
+
+
 def json_lines(spark: SparkSession, path: str, schema: str = LINE_QUERY, lenient: bool = False) -> DataFrame:
     """Rows of a JSONL file; a malformed line fails the read, or is left out if lenient. Blank lines do not count."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED" if lenient else "FAILFAST").json(path)
@@ -96,13 +128,20 @@ def annotations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_report(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).write.mode("overwrite").text(path)
 
 
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a report; every row is an object of several lines, one after the other."""
+    text = spark.read.text(path, wholetext=True)
+    objects = F.split(F.trim("value"), r"\n(?=\{)")
+    return text.where(F.trim("value") != "").select(F.explode(objects).alias("o")).select(F.from_json("o", schema).alias("r")).select("r.*")
+
+
 def eval_candidates(movies: DataFrame, least: int = 10) -> DataFrame:
     """Movies whose overview is long enough to ask about."""
     return movies.where(word_count(F.coalesce("overview", F.lit(""))) >= least)

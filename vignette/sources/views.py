@@ -31,6 +31,19 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(spark, sf_dir).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("movie_id").alias("target_movie"))
 
 
+FILMS = 37
+
+
+def films(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scenes dealt out to FILMS movies, more than the deepest k of any report."""
+    return scenes(spark, sf_dir).select("vec_id", F.concat(F.lit("film_"), F.col("scene_index") % FILMS).alias("movie_id"), "scene_id", "scene_index", "embedding")
+
+
+def film_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence is a query for the film of its scene."""
+    return sentences(spark, sf_dir).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.concat(F.lit("film_"), F.col("scene_index") % FILMS).alias("movie_key"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document is a script: its lines that are not blank, tagged in turn S N C E D T."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("movie_id"), F.posexplode(F.split("text", "\n")).alias("pos", "content")).where(F.trim("content") != "")
@@ -55,7 +68,11 @@ def raw_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = raw_relations(spark, sf_dir)
+    return entities_of(raw_relations(spark, sf_dir))
+
+
+def entities_of(r: DataFrame) -> DataFrame:
+    """The ends of relations."""
     one = lambda side: r.select("movie_id", F.col(f"{side}_name").alias("name"), F.col(f"{side}_type").alias("entity_type"))
     return one("from").union(one("to")).distinct()
 
@@ -74,6 +91,8 @@ SQL = {
     "v_scenes": "SELECT vec_id, concat('movie_', label) AS movie_id, concat('Movie ', label) AS movie_title, printf('scene_%04d', vec_id // 5) AS scene_id, vec_id // 5 AS scene_index, concat('scene text ', vec_id) AS text, embedding FROM embeddings WHERE vec_id % 5 = 0",
     "v_sentences": "SELECT e.vec_id, s.movie_id, s.movie_title, s.scene_id, s.scene_index, concat('line ', e.vec_id) AS text, CASE e.vec_id % 5 WHEN 1 THEN 'description' WHEN 4 THEN 'transition' ELSE 'dialogue' END AS line_type, e.vec_id AS position_in_script, e.embedding FROM embeddings e JOIN v_scenes s ON e.vec_id // 5 = s.scene_index WHERE e.vec_id % 5 <> 0",
     "v_query_vecs": "SELECT vec_id AS query_id, embedding AS q, movie_id AS target_movie FROM v_sentences",
+    "v_films": "SELECT vec_id, concat('film_', scene_index % 37) AS movie_id, scene_id, scene_index, embedding FROM v_scenes",
+    "v_film_queries": "SELECT vec_id AS query_id, embedding AS q, concat('film_', scene_index % 37) AS movie_key FROM v_sentences",
     "v_lines0": "SELECT doc_id, source AS movie_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents",
     "v_lines": "SELECT doc_id, movie_id, content, line_no, substr('SNCEDT', CAST(line_no % 6 + 1 AS INTEGER), 1) AS tag FROM (SELECT doc_id, movie_id, content, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS line_no FROM v_lines0 WHERE trim(content) <> '')",
     "v_rel0": "SELECT strftime(ts, '%Y-%m-%d') AS movie_id, event_id, user_id AS f, lead(user_id) OVER (PARTITION BY strftime(ts, '%Y-%m-%d') ORDER BY ts, event_id) AS t, CASE event_type WHEN 'click' THEN 'TEACHES' WHEN 'error' THEN 'BETRAYS' WHEN 'purchase' THEN 'OWES' WHEN 'signup' THEN 'ALLIES_WITH' WHEN 'view' THEN 'LOVES' END AS label FROM events",

@@ -10,11 +10,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators.store import Store
 
 
-def upserts(rows: DataFrame, store: Store, table: str, checkpoint: str, key: str = "id", once: bool = True) -> StreamingQuery:
-    """Starts a query that upserts every micro-batch of `rows` into the table; of repeated ids in a batch one row stays."""
+def upserts(rows: DataFrame, store: Store, table: str, checkpoint: str, key: str = "id", once: bool = True, order: str | None = None) -> StreamingQuery:
+    """Starts a query that upserts every micro-batch of `rows` into the table; of repeated ids in a batch the last row by
+    `order` (without it, the last to arrive) stays."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        store.upsert(table, batch.dropDuplicates([key]), key)
+        store.upsert(table, batch, key, order)
 
     writer = rows.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
