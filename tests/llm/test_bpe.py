@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from compare import SMALL
@@ -63,3 +64,15 @@ def test_odd_rows(documents, odd_rows):
     back = sorted(((r["doc_id"] or 0, r["text"] or "") for r in bpe.decode(got).collect()))
     assert back == sorted((i or 0, t or "") for i, t, _ in odd_rows)
     assert bpe.encode(df.limit(0)).count() == 0 and bpe.decode(got.where(F.lit(False))).count() == 0
+
+
+def test_slices_that_share_a_hash(monkeypatch):
+    """Every slice of one length has the same hash; ids are still exact, also where the cache holds another slice."""
+    words = bpe.Vocabulary(bpe.read(bpe.VOCABULARY))
+    monkeypatch.setattr(bpe, "span_hashes", lambda raw, starts, ends: (ends - starts).astype(np.uint64))
+    true = bpe.vocabulary()
+    for text in ("one two six ten, and four more", "red big sun sea: the last word it is", "one two"):
+        data = text.encode()
+        got = words.encode(np.frombuffer(data, np.uint8), np.array([0, len(data)]))[0].tolist()
+        want = [i for a, b in zip(*(lambda s: (s, [*s[1:], len(data)]))(bpe.boundaries(np.frombuffer(data, np.uint8), np.array([0, len(data)])).tolist())) for i in true.merge_long(data[a:b])]
+        assert got == want

@@ -5,11 +5,13 @@ of an automaton that splits words, numbers, other signs, white space and the con
 The functions' closure under composition is a small monoid with a product table, so the states at all positions come
 from an associative scan: blocks are folded side by side, the blocks' totals are scanned, and the blocks run again
 from their first states. Slices between boundaries are hashed; distinct slices look their ids up in a cache, and the
-missing ones are merged together, one merge of every slice at a time, by pair rank. Tokens keep the byte offset at
-which they start; decoding concatenates the tokens' bytes and every row is checked against its text.
+missing ones are merged together, one merge of every slice at a time, by pair rank. The ids are decoded and compared with
+the bytes; slices that share a hash with others show there and are merged by themselves. Tokens keep the byte offset at
+which they start.
 
 Cases: a null text has null ids; an empty text has none; very long slices (runs of one class) are merged by a heap in
-O(n log n); ill-formed UTF-8 is encoded bytewise and round-trips; other columns are not looked at.
+O(n log n); ill-formed UTF-8 is encoded bytewise and round-trips; repeated rows get equal ids; an empty table gives no
+rows; ids of documents that are no number become null; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -25,9 +27,9 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, span_hashes, utf8
+from .common import bounded_batches, slices, span_hashes, utf8
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # default of the setting spark.vignette.vocabulary; read by the driver alone
 CACHE = 1_000_000  # distinct slices that a worker remembers
 WIDE = 48  # longer slices go through the heap
 
@@ -176,9 +178,9 @@ def boundaries(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Vocabulary:
-    def __init__(self, path: str = VOCABULARY):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    def __init__(self, data: bytes):
+        """data: lines of a token in base 64 and its rank."""
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line.strip())}
         size = max(self.ranks.values()) + 1
         self.bytes: list[bytes] = [b""] * size
         for token, rank in self.ranks.items():
@@ -327,12 +329,27 @@ class Vocabulary:
         per = n[which]
         until = np.cumsum(per)
         ids = pool[np.repeat(first[which] - (until - per), per) + np.arange(until[-1])]
+        while len(bad := self._wrong(ids, until - per, raw, start, end)):  # two slices share a hash: these are merged by themselves
+            fixed, n_fixed = self.merge(raw, start[bad], end[bad])
+            pieces = np.split(ids, until[:-1])
+            for i, piece in zip(bad.tolist(), np.split(fixed, np.cumsum(n_fixed)[:-1])):
+                pieces[i] = piece
+            ids, per[bad] = np.concatenate(pieces), n_fixed
+            until = np.cumsum(per)
         row_first = np.searchsorted(start, offsets)
         bounds = np.concatenate([[0], until])[row_first]
         if len(new):
             self._remember(distinct[new], fresh, count)
         return ids, bounds
 
+    def _wrong(self, ids: np.ndarray, first: np.ndarray, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The slices whose ids do not decode to their bytes; those of another length first."""
+        bad = np.flatnonzero(np.add.reduceat(self.length[ids], first) != end - start)
+        if not len(bad):
+            differ = np.flatnonzero(self.decode(ids) != raw)
+            bad = np.unique(np.searchsorted(start, differ, side="right") - 1)
+        return bad
+
     def _remember(self, name: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         if len(self.known) + len(name) > CACHE:
             self.forget()
@@ -355,20 +372,37 @@ class Vocabulary:
 
 
 @functools.lru_cache(maxsize=2)
+def _loaded(data: bytes) -> Vocabulary:
+    """One a process."""
+    return Vocabulary(data)
+
+
+@functools.lru_cache(maxsize=4)
+def read(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def vocabulary(path: str = VOCABULARY) -> Vocabulary:
-    """One a worker process."""
-    return Vocabulary(path)
+    return _loaded(read(path))
+
+
+def chosen(spark, path: str | None) -> bytes:
+    """The vocabulary's file (some 1 MB), which goes along with the tasks: `path`, else what the session names."""
+    return read(path or spark.conf.get("spark.vignette.vocabulary", VOCABULARY))
 
 
 ENCODED = "doc_id bigint, ids array<int>, offsets array<int>, roundtrip boolean"
 
 
-def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, offsets, roundtrip) of every row: token ids, the byte at which each token starts, and whether
     decoding gave the text back. No shuffle."""
 
+    data = chosen(docs.sparkSession, path)
+
     def run(batches):
-        words = vocabulary(path)
+        words = _loaded(data)
         for batch in batches:
             raw_all, offsets_all = utf8(batch.column(1))
             for a, b in slices(offsets_all, 1 << 21):
@@ -376,13 +410,12 @@ def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text
                 ids, bounds = words.encode(raw, offsets)
                 n = words.length[ids]
                 until = np.cumsum(n)
-                total = int(until[-1]) if len(until) else 0
                 row = np.repeat(np.arange(b - a), np.diff(bounds))
                 begin = (until - n - offsets[row]).astype(np.int32)
-                same = np.ones(b - a, bool)
-                if total != len(raw) or not np.array_equal(words.decode(ids), raw):
+                edge = np.concatenate([[0], until])[bounds]
+                same = np.diff(edge) == np.diff(offsets)
+                if not same.all() or not np.array_equal(words.decode(ids), raw):
                     back = words.decode(ids)
-                    edge = np.concatenate([[0], until])[bounds]
                     same = np.array([np.array_equal(back[edge[i] : edge[i + 1]], raw[offsets[i] : offsets[i + 1]]) for i in range(b - a)])
                 gone = pa.array(batch.column(1).slice(a, b - a).is_null())
                 lists = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x)) for x in (ids, begin)]
@@ -390,37 +423,43 @@ def encode(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text
                 lists = [pa.compute.if_else(gone, null, x) if batch.column(1).null_count else x for x in lists]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *lists, pa.array(same)], ["doc_id", "ids", "offsets", "roundtrip"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, ENCODED)
 
 
-def counts(docs: DataFrame, path: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, total) of every row: the number of token ids of its whole text, 0 for a null. No shuffle."""
 
+    data = chosen(docs.sparkSession, path)
+
     def run(batches):
-        words = vocabulary(path)
+        words = _loaded(data)
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
             for a, b in slices(offsets, 1 << 21):
                 _, bounds = words.encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds), pa.int64())], ["doc_id", "total"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, total bigint")
 
 
-def decode(encoded: DataFrame, path: str = VOCABULARY) -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids); null ids give a null text."""
 
+    data = chosen(encoded.sparkSession, path)
+
     def run(batches):
-        words = vocabulary(path)
+        words = _loaded(data)
         for batch in batches:
             lists = batch.column(1)
             flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             size = np.array([0 if x is None else x for x in pa.compute.list_value_length(lists).to_pylist()], np.int64)
             edge = np.concatenate([[0], np.cumsum(words.length[flat])])[np.concatenate([[0], np.cumsum(size)])]
-            data = words.decode(flat).tobytes()
-            texts = [None if gone else data[a:b].decode(errors="replace") for a, b, gone in zip(edge[:-1], edge[1:], lists.is_null().to_pylist())]
+            made = words.decode(flat).tobytes()
+            texts = [None if gone else made[a:b].decode(errors="replace") for a, b, gone in zip(edge[:-1], edge[1:], lists.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("bigint"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id bigint, text string")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import bounded_batches, slices, utf8
 
 TRAIN_DOCS = 1200
 CHUNK, OVERLAP = 512, 64
@@ -181,5 +181,6 @@ def classify(docs: DataFrame, net: Network | None, id_col: str = "doc_id", text_
                 p, keep = pa.array(found, mask=np.isnan(found)), pa.array(np.nan_to_num(found, nan=-1.0) >= net.threshold)
             yield pa.RecordBatch.from_arrays([batch.column(0), p, keep], ["doc_id", "probability", "keep"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, probability double, keep boolean")

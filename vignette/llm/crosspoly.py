@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, stored
+from .common import bounded_batches, mix, stored
 
 K = 10
 SIZES = (512, 128, 32)  # members of a bucket on average, in question
@@ -160,6 +160,7 @@ UNIT = "id bigint, h1 bigint, h2 bigint, v array<float>"
 
 def unit_vectors(rows: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
     """(id, h1, h2, v) with one unit vector per id and its fingerprint, stored in the shared folder, and the dimension."""
+    bounded_batches(rows.sparkSession)
     raw = rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     sizes = raw.groupBy(F.size("v").alias("d")).count().where("d > 0").orderBy(F.desc("count"), "d").first()
     dimension = sizes["d"] if sizes else 1

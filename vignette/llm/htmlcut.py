@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 SAMPLE_PAGES = 500
 ADJACENT = 1.0  # capacity between blocks that follow each other under one parent; less with distance in the DOM
 SIBLING = 0.6  # between a block and the one before it under the same parent, other blocks between them
@@ -404,4 +406,5 @@ def contents(pages: DataFrame, weights: np.ndarray | None = None) -> DataFrame:
             a, b, c = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a, pa.string()), pa.array(b, pa.int32()), pa.array(c, pa.int32())], ["page_id", "content", "blocks", "content_blocks"])
 
+    bounded_batches(pages.sparkSession)
     return pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("html").cast("string").alias("html")).mapInArrow(run, "page_id bigint, content string, blocks int, content_blocks int")

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import bounded_batches, utf8
 from .quality import compressor, judge
 
 LEVEL = 5
@@ -72,6 +72,7 @@ def _filled(texts: list[bytes], size: int) -> bytes:
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE_DOCS, size: int = DICT_BYTES, least: int = MIN_DOCS, most: int = MOST_LANGUAGES) -> dict[str, bytes]:
     """language -> dictionary. The sample is the only part of this operator that does not see every row. Hashes alone find
     it, so that copies count once and no task sends more texts than are wanted."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text <> ''").withColumn("h", F.xxhash64("text"))
     distinct = rows.groupBy("lang", "h").agg(F.lit(1).alias("one"))
     largest = [r["lang"] for r in distinct.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()]
@@ -149,6 +150,7 @@ def identify(text: Column, dictionaries: dict[str, bytes], label: Column | None
 def languages(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, lang_found, margin, keep) of every row; the dictionaries, some 64 KB a language, go along with the tasks."""
     dictionaries = fit(docs, text_col, lang_col) if dictionaries is None else dictionaries
+    bounded_batches(docs.sparkSession)
     found = docs.select(F.col(id_col).alias("doc_id"), identify(F.col(text_col), dictionaries, F.col(lang_col)).alias("v"))
     return found.select("doc_id", F.col("v.lang").alias("lang_found"), "v.margin", "v.keep")
 
@@ -156,4 +158,5 @@ def languages(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, id_
 def keep_identified(docs: DataFrame, dictionaries: dict[str, bytes] | None = None, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of docs that are not rejected, all columns unchanged."""
     dictionaries = fit(docs, text_col, lang_col) if dictionaries is None else dictionaries
+    bounded_batches(docs.sparkSession)
     return docs.where(identify(F.col(text_col), dictionaries, F.col(lang_col)).getField("keep"))

@@ -95,7 +95,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     return bins
 
 
-def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = bpe.VOCABULARY) -> DataFrame:
+def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, total) of the documents that have any text; total in tokens."""
     return bpe.counts(docs, path, id_col, text_col).where("total > 0")
 
@@ -117,7 +117,7 @@ def pack_shard(frame: pd.DataFrame, capacity: int, shard: int) -> pd.DataFrame:
     return pd.DataFrame([((shard << 32) + k, *r, sum(r[2])) for k, r in enumerate(rows)], columns=["bin_id", "doc_ids", "starts", "lengths", "used"])
 
 
-def bins(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", path: str = bpe.VOCABULARY) -> DataFrame:
+def bins(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per bin: (bin_id, doc_ids, starts, lengths, used); doc_ids[i] fills lengths[i] tokens of the bin with
     its tokens from starts[i] on."""
     found = stored(pieces(docs, id_col, text_col, path).withColumn("row", F.monotonically_increasing_id()), "lengths")

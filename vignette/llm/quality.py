@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import bounded_batches, utf8
 
 LEVEL = 3
 CHUNK = 4096
@@ -82,10 +82,12 @@ def verdict(text: Column) -> Column:
 
 def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ratio, chunks, chunks_outside, reason, keep) of every row; no shuffle."""
+    bounded_batches(docs.sparkSession)
     found = docs.select(F.col(id_col).alias("doc_id"), verdict(F.col(text_col)).alias("v"))
     return found.select("doc_id", "v.ratio", "v.chunks", "v.chunks_outside", "v.reason", F.col("v.reason").isNull().alias("keep"))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of docs that pass, all columns unchanged."""
+    bounded_batches(docs.sparkSession)
     return docs.where(verdict(F.col(text_col)).getField("reason").isNull())

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import bounded_batches, slices, utf8
 
 MIN_RUN = 8
 LONG_RUN = 16
@@ -526,6 +526,7 @@ def findings(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id"
                 start, end, row, p = start[bad], end[bad], row[bad], p[bad]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row + a)), pa.array(start - part[row]), pa.array(end - start), pa.array(p)], ["doc_id", "at", "length", "probability"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, at bigint, length bigint, probability double")
 
@@ -560,6 +561,7 @@ def redacted(text: Column, net: Network | None = None) -> Column:
 def redact(docs: DataFrame, net: Network | None = None, text_col: str = "text", size_col: str | None = "n_chars") -> DataFrame:
     """docs with the secrets masked in the text and, where there is such a column, the number of characters adjusted
     (a null number stays null). All rows and columns stay."""
+    bounded_batches(docs.sparkSession)
     name = "__masked"
     while name in docs.columns:
         name += "_"

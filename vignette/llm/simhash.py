@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, mix, remove, slices, span_hashes, stored, utf8, words
+from .common import GOLD, bounded_batches, mix, remove, slices, span_hashes, stored, utf8, words
 
 BITS = 128
 MAX_DISTANCE = 24
@@ -208,6 +208,7 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             signed = fp.view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(signed[keep, 0]), pa.array(signed[keep, 1])], ["doc_id", "hi", "lo"])
 
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(run, _PRINTED)
 

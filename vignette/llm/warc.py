@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path, stored
+from .common import bounded_batches, scratch_path, stored
 
 MAGIC = b"\x1f\x8b\x08"
 _LINE = rb"WARC/[01]\.\d+\r?\n"
@@ -131,6 +131,7 @@ def write_pages(pages: DataFrame, folder: str, fault: Column | None = None) -> D
                     count += 1
         yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([count])], ["path", "records"])
 
+    bounded_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), F.col("html").cast("string"), (F.lit(0) if fault is None else fault).cast("int").alias("fault"))
     return rows.mapInArrow(run, "path string, records bigint")
 
