@@ -101,3 +101,47 @@ def test_engine(spark, built):
         graph_only.search("x")
     with pytest.raises(ValueError):
         e.search(" ")
+
+
+def test_engine_over_a_store(spark, tmp_path):
+    """Build, reload and serve; an engine opened anew finds the graph and lacks the levels."""
+    p = "PERSON"
+    entities = spark.createDataFrame([("movie-a", n, p) for n in ("Alice", "Bob", "Carol")] + [("movie-b", "Dana", p)], ENTITY)
+    relations = spark.createDataFrame([("movie-a", "Alice", p, "Bob", p, "TEACHES", "x"), ("movie-a", "Bob", p, "Carol", p, "BETRAYS", "y"), ("movie-b", "Dana", p, "Zed", p, "SAVES", "z")], RELATION)
+    e = Engine.open(spark, str(tmp_path), translator=keyword_translator)
+    assert not e.ready() and e.graph_health()["status"] == "not_ready" and e.graph_health()["last_build"] is None
+    with pytest.raises(Unavailable):
+        e.movie("movie-a")
+    told = e.build_graph(entities, relations).first()
+    assert (told["movies"], told["entities"], told["relations"], told["dropped"], told["mode"]) == (2, 4, 2, 1, "full")
+    assert told["dropped_by_reason"] == {"missing_to_entity": 1}
+    with pytest.raises(ValueError):
+        e.build_graph(entities, relations, "movie-a", rebuild=True)
+    with pytest.raises(ValueError):
+        e.build_graph(entities, relations, "nowhere")
+    e.build_graph(entities.where("name <> 'Carol'"), relations, "movie-a")
+    again = Engine.open(spark, str(tmp_path))
+    h = again.graph_health()
+    assert h["status"] == "ready" and h["counts"] == {"movies": 2, "entities": 3, "relations": 1, "edges": 4}
+    assert h["last_build"]["mode"] == "movie" and h["last_build"]["requested"] == "movie-a" and h["last_build"]["number"] == 1
+    assert again.pattern(Pattern(["TEACHES"])).count() == 1 and again.health() == {"vectors": False, "graph": True, "encoder": False}
+    again.build_graph(entities.where("movie_id = 'movie-b'"), relations, rebuild=True)
+    assert again.graph_health()["counts"] == {"movies": 1, "entities": 1, "relations": 0, "edges": 1}
+
+
+def test_titles_of_source_files(spark):
+    rows = [("a", "The-Long-Day.txt", "x.txt"), ("b", None, "/p/q/Other-One.v2.pdf"), ("c-d", "", None)]
+    got = {r["movie_id"]: (r["title"], r["source_file"]) for r in graph.titled(spark.createDataFrame(rows, "movie_id string, entity_file string, relation_file string")).collect()}
+    assert got == {"a": ("The Long Day", "The-Long-Day.txt"), "b": ("Other One.v2", "/p/q/Other-One.v2.pdf"), "c-d": ("c d", "c-d.txt")}
+
+
+def test_filters_and_extractors_that_fail(spark):
+    e = spark.createDataFrame([("m", "Ann", "PERSON", 0), ("m", "Bo", "PERSON", 1), ("n", "Cy", "PERSON", 0)], "movie_id string, text string, label string, ord int")
+    assert graph.filtered_entities(e, None).count() == 3
+    got = graph.filtered_entities(e, lambda l: [{"text": x["text"].upper(), "label": x["label"]} for x in l if x["text"] != "Bo"]).collect()
+    assert {(r["movie_id"], r["text"]) for r in got} == {("m", "ANN"), ("n", "CY")}
+    assert graph.filtered_entities(e, lambda l: l[99]).count() == 3
+    texts = spark.createDataFrame([("m", "t"), ("n", "t")], "movie_id string, text string")
+    answer = '[{"from": "Ann", "from_type": "PERSON", "to": "Bo", "to_type": "PERSON", "label": "SAVES", "evidence": "e"}]'
+    found = graph.extracted_relations(texts, e, lambda t, names: answer if "Ann" in names else "no json").collect()
+    assert [(r["movie_id"], r["from_name"], r["to_name"]) for r in found] == [("m", "Ann", "Bo")]

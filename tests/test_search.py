@@ -101,3 +101,70 @@ def test_store_verbs(spark, tmp_path):
     assert s.index_movie(one, one.limit(0)) == 1
     s.reset()
     assert s.names() == []
+
+
+def test_store_survives_its_session_object(spark, tmp_path):
+    """Repeated ids: the last wins; a store opened anew knows its tables; parts are merged after some upserts; reset deletes."""
+    folder = str(tmp_path / "kept")
+    row = lambda i, d: (i, d, {"k": d}, [1.0, 0.0])
+    one = store.Store(spark, folder, 2)
+    first = one.upsert("scenes", spark.createDataFrame([row("a", "1"), row("a", "2"), row("b", "1")], POINT))
+    assert {r["id"]: r["document"] for r in first.collect()} == {"a": "2", "b": "1"}
+    again = store.Store(spark, folder, 2)
+    assert again.names() == ["scenes"] and again.exists("scenes") and not again.exists("sentences")
+    for k in range(10):
+        batch = spark.createDataFrame([row("b", f"old{k}"), row(f"n{k}", "x"), row("b", f"new{k}")], POINT)
+        got = {r["id"]: r["document"] for r in again.upsert("scenes", batch).collect()}
+        assert got == {"a": "2", "b": f"new{k}", **{f"n{i}": "x" for i in range(k + 1)}}
+        assert again.parts("scenes") < store.Store.COMPACT
+    assert {r["id"]: r["document"] for r in one.get("scenes").collect()} == got  # the other object sees the newest version
+    tuned = again.tune("scenes", files=2, sort=["id"])
+    assert tuned.count() == 12 and again.parts("scenes") == 1
+    import os
+
+    again.reset("scenes")
+    assert not one.exists("scenes") and "scenes" not in os.listdir(folder)
+    with pytest.raises(KeyError):
+        again.get("scenes")
+
+
+def test_an_earlier_reader_keeps_its_version(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path), 2)
+    s.put("scenes", spark.createDataFrame([("a", "1", None, None)], POINT))
+    before = s.get("scenes")
+    s.upsert("scenes", spark.createDataFrame([("a", "2", None, None)], POINT))
+    assert before.first()["document"] == "1" and s.get("scenes").first()["document"] == "2"
+
+
+def test_order_decides_and_repeats_are_refused(spark):
+    schema = POINT + ", at int"
+    base = spark.createDataFrame([("a", "0", None, None, 0)], schema)
+    batch = spark.createDataFrame([("a", "late", None, None, 9), ("a", "early", None, None, 3)], schema)
+    assert store.upsert(base, batch, order="at").first()["document"] == "late" and store.upsert(base, batch).first()["document"] == "early"
+    twice = spark.createDataFrame([("z", "1", None, None, 1), ("z", "2", None, None, 2)], schema)
+    with pytest.raises(ValueError, match="repeats"):
+        store.add(base, twice)
+
+
+def test_null_vectors_take_no_part(spark):
+    V = "vec_id bigint, embedding array<float>, g string"
+    c = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, None, "x"), (3, [0.0, 1.0], "y"), (None, [1.0, 1.0], "x"), (5, [1.0, None], "x")], V)
+    q = c.selectExpr("vec_id AS query_id", "embedding AS q", "g")
+    for partitions in (1, 3):
+        got = nearest.block_top_k(q.repartition(partitions), c.repartition(partitions), 5).collect()
+        assert {(r["query_id"], r["corpus_id"], r["score"]) for r in got} == {(1, 1, 1.0), (1, 3, 0.0), (3, 3, 1.0), (3, 1, 0.0)}
+    best = {(r["query_id"], r["g"]): r["score"] for r in nearest.block_group_best(q, c, "g").collect()}
+    assert best == {(1, "x"): 1.0, (1, "y"): 0.0, (3, "x"): 0.0, (3, "y"): 1.0}
+    assert nearest.block_top_k(q, c.limit(0), 5).count() == 0
+    odd = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [1.0], "x")], V).coalesce(1)
+    with pytest.raises(Exception, match="different lengths"):
+        nearest.block_top_k(q, odd, 5).collect()
+
+
+def test_packing_vectors_needs_no_shuffle(spark):
+    rows = spark.createDataFrame([(i, [1.0, float(i)], f"g{i % 3}") for i in range(50)], "vec_id bigint, embedding array<float>, g string").repartition(4)
+    made = nearest._blocks(rows, "vec_id", "embedding", 8, "c", "g", True)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1  # the repartition above
+    got = [(r["group"], len(r["c_ids"]), len(r["c_flat"])) for r in made.collect()]
+    assert sum(n for _, n, _ in got) == 50 and all(f == 2 * n <= 16 for _, n, f in got) and len({g for g, _, _ in got}) == 3

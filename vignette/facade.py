@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .config import Settings
 from .hooks import Encoder, Translation, translate
 from .operators import fuse, graph, search
+from .operators.graph_store import GraphStore
+from .operators.store import Store
 from .plans.pattern import Pattern, compile_pattern, with_details
 
 
@@ -31,6 +33,7 @@ class Engine:
     encoder: Encoder | None = None
     translator: Callable[[str, int], str] | None = None
     settings: Settings = Settings()
+    graph_store: GraphStore | None = None
 
     def health(self) -> dict[str, bool]:
         return {"vectors": self.scenes is not None and self.sentences is not None, "graph": self.entities is not None and self.relations is not None, "encoder": self.encoder is not None}
@@ -73,6 +76,30 @@ class Engine:
             raise Unavailable("no graph is loaded")
         return with_details(compile_pattern(request, self.relations), self.entities, self.relations)
 
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str, **parts) -> Engine:
+        """An engine over what a store holds; levels and graph that are not there are left out, and answers degrade."""
+        store = Store(spark, folder)
+        kept = GraphStore(spark, store)
+        levels = {n: store.get(n) for n in ("scenes", "sentences") if store.exists(n)}
+        tables = {n: kept.table(n) for n in ("entities", "relations")} if kept.ready() else {}
+        return cls(spark, **{**levels, **tables, "graph_store": kept, **parts})
+
+    def build_graph(self, entities: DataFrame, relations: DataFrame, movie_id: str | None = None, rebuild: bool = False) -> DataFrame:
+        """Builds the stored graph, or one movie of it, and serves it from then on; the summary row."""
+        if self.graph_store is None:
+            raise Unavailable("no store is set")
+        told = self.graph_store.build(entities, relations, movie_id, rebuild)
+        self.entities, self.relations = self.graph_store.table("entities"), self.graph_store.table("relations")
+        return told
+
+    def graph_health(self) -> dict:
+        """status, counts, last_build; not_ready without a store or a build."""
+        if self.graph_store is None:
+            ready = self.entities is not None and self.relations is not None
+            return {"status": "ready" if ready else "not_ready", "counts": graph.counts(self.entities, self.relations).first().asDict() if ready else None, "last_build": None}
+        return self.graph_store.health()
+
     def movie(self, movie_id: str, limit: int = 25) -> tuple[DataFrame, DataFrame, DataFrame]:
         if self.entities is None or self.relations is None:
             raise Unavailable("no graph is loaded")

@@ -36,6 +36,14 @@ def m4_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.hard_negatives(_asked(spark, sf_dir), views.scenes(spark, sf_dir)).select("query_id", "vec_id", "score", "rank")
 
 
+@query("SELECT query_id, 3::BIGINT AS negatives, 3::BIGINT AS different, 0::BIGINT AS own FROM v_query_vecs", ("v_query_vecs",))
+def m3_negative_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the draw has to keep: three different scenes a query, none of its movie."""
+    asked, s = _asked(spark, sf_dir), views.scenes(spark, sf_dir)
+    drawn = mine.random_negatives(asked, s).join(s.select("vec_id", F.col("movie_id").alias("of")), "vec_id").join(asked.select("query_id", "movie_id"), "query_id")
+    return drawn.groupBy("query_id").agg(F.count("*").alias("negatives"), F.countDistinct("vec_id").alias("different"), F.sum((F.col("of") == F.col("movie_id")).cast("bigint")).alias("own"))
+
+
 @query()
 def m3_random_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Drawn by Spark's own hash, which ANSI SQL lacks."""
@@ -59,19 +67,20 @@ def j19_scene_by_length_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(mine.longest_scenes(d, key="doc_id").select("movie_id", "scene_idx", F.col("doc_id").alias("positive")), ["movie_id", "scene_idx"]).select("query_id", "positive", "scene_idx")
 
 
-@query("SELECT q.query_id, pos.vec_id AS positive FROM v_query_vecs q JOIN pos USING (query_id)", ("v_query_vecs", "v_scenes"), _PAIRS)
+@query("SELECT q.query_id, pos.vec_id AS positive, 3::BIGINT AS negatives, 0::BIGINT AS own FROM v_query_vecs q JOIN pos USING (query_id)", ("v_query_vecs", "v_scenes"), _PAIRS)
 def m5_assembled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pairs of all synopsis queries; their negatives are m3's."""
+    """The pairs of all synopsis queries, with the number of their negatives and of those from the own movie."""
     asked = _asked(spark, sf_dir).withColumns({"query_type": F.lit("synopsis"), "scene_idx": F.lit(None).cast("int")})
     s = views.scenes(spark, sf_dir)
     pairs = mine.training_columns(mine.assemble(asked, mine.assign_batch(asked, s), s))
-    return pairs.select("query_id", "positive")
+    flat = pairs.select("query_id", "movie_id", "positive", F.explode(F.array("negative_0", "negative_1", "negative_2")).alias("vec_id")).join(s.select("vec_id", F.col("movie_id").alias("of")), "vec_id")
+    return flat.groupBy("query_id", "positive").agg(F.countDistinct("vec_id").alias("negatives"), F.sum((F.col("of") == F.col("movie_id")).cast("bigint")).alias("own"))
 
 
-@query("SELECT concat('movie_', conv_id % 20) AS movie_title, coalesce(max(CASE WHEN turn >= 3 THEN turn END), 2) + 1 AS next_idx FROM conversations GROUP BY 1")
+@query("SELECT concat('movie_', conv_id % 20) AS movie_title, coalesce(max(CASE WHEN turn * 33 >= 100 THEN turn * 33 END), 99) + 1 AS next_idx FROM conversations GROUP BY 1")
 def a28_next_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = views.table(spark, sf_dir, "conversations").select(F.concat(F.lit(" Movie_"), F.col("conv_id") % 20).alias("movie_title"), F.col("turn").alias("scene_idx"))
-    return mine.next_scene_idx(c, 3)
+    c = views.table(spark, sf_dir, "conversations").select(F.concat(F.lit(" Movie_"), F.col("conv_id") % 20).alias("movie_title"), (F.col("turn") * 33).alias("scene_idx"))
+    return mine.next_scene_idx(c)
 
 
 _LINES = "nn AS (SELECT *, row_number() OVER (PARTITION BY movie_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY movie_id) AS c FROM v_relations)"
@@ -87,11 +96,12 @@ def a30_balanced_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine.balanced(views.table(spark, sf_dir, "documents"), 8, "n_chars", "doc_id").select("doc_id", "worker")
 
 
-@query("SELECT label, count(*) AS vectors FROM embeddings WHERE label NOT IN (SELECT label FROM embeddings WHERE label < 3) GROUP BY label")
+@query("SELECT label, CASE WHEN label < 3 THEN 'held' ELSE 'train' END AS half, count(*) AS vectors FROM embeddings GROUP BY label")
 def j13_held_out_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = views.table(spark, sf_dir, "embeddings")
     train, held = mine.split(e, e.where("label < 3").select("label"), "label")
-    return train.groupBy("label").agg(F.count("*").alias("vectors"))
+    both = train.select("label", F.lit("train").alias("half")).unionByName(held.select("label", F.lit("held").alias("half")))
+    return both.groupBy("label", "half").agg(F.count("*").alias("vectors"))
 
 
 @query("SELECT doc_id, source, text FROM documents WHERE contains(lower(text), 'the') AND n_chars >= 1000 ORDER BY n_chars DESC, doc_id LIMIT 25 OFFSET 25")
@@ -124,7 +134,10 @@ def p9_scene_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("scene_id", "movie_id", F.size("embedding").alias("dimension"), F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first_part"))
 
 
-@query()
+_TEXT = r"""regexp_replace(regexp_replace(text, '["\\\n\r\t]', ' ', 'g'), '^\s+|\s+$', '', 'g')"""
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN {_TEXT} = '' THEN [] ELSE [{_TEXT}, {_TEXT}] END AS items FROM conversations")
 def f13_reply_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as a model's reply, whole for even turns and cut off for odd ones."""
     quoted = F.concat(F.lit('"'), F.regexp_replace("text", r'["\\\n\r\t]', " "), F.lit('"'))
@@ -133,7 +146,12 @@ def f13_reply_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", repair.string_list(reply).alias("items"))
 
 
-@query()
+_BARE = r"regexp_replace(b, '^\s+|\s+$', '', 'g')"
+_PLAIN = r"regexp_replace(trim(trim(regexp_replace(regexp_replace(regexp_replace(query, '^\s+|\s+$', '', 'g'), '^```(json)?\s*', ''), '\s*```$', ''), '\"'), chr(39)), '^\s+|\s+$', '', 'g')"
+_SUMMARY = "rq AS (SELECT *, row_id % 1000 % 4 AS shape, substr(query, 12, length(query) - 13) AS b FROM v_raw_queries)"
+
+
+@query(f"SELECT row_id, CASE WHEN shape = 0 THEN nullif({_BARE}, '') WHEN upper({_PLAIN}) <> 'SKIP' AND {_PLAIN} <> '' AND len(regexp_extract_all({_PLAIN}, '[^ \\t\\n\\r\\f]+')) <= 50 THEN {_PLAIN} END AS summary FROM rq", ("v_raw_queries",), _SUMMARY)
 def f14_scene_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.raw_queries(spark, sf_dir)
     return r.select("row_id", repair.scene_summary(F.col("query")).alias("summary"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, vectors
 from ..operators import index, nearest, search, store
 from ..sources import views
+from ..storage import new_folder
 from .registry import cosine_sql, query
 
 #: The query vector of the single-vector searches: ones and minus ones in turn.
@@ -80,9 +81,11 @@ def a6_scene_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.scene_pool(views.query_vectors(spark, sf_dir), views.scenes(spark, sf_dir)).select("query_id", "movie_id", "score", "rank")
 
 
-@query("SELECT scene_id, movie_id, coalesce(scene_index, 0) AS scene_index, coalesce(NULL, 'description') AS line_type, coalesce(CAST(NULL AS VARCHAR), '') AS text FROM v_scenes", ("v_scenes",))
+@query("SELECT scene_id, movie_id, CASE WHEN vec_id % 3 = 0 THEN 0 ELSE scene_index END AS scene_index, CASE WHEN vec_id % 2 = 0 THEN 'description' ELSE 'dialogue' END AS line_type, CASE WHEN vec_id % 7 = 0 THEN '' ELSE text END AS text FROM v_scenes", ("v_scenes",))
 def v6_payload_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    missing = views.scenes(spark, sf_dir).withColumn("line_type", F.lit(None).cast("string")).withColumn("text", F.lit(None).cast("string"))
+    """Fields that some payloads lack and others have."""
+    s = views.scenes(spark, sf_dir)
+    missing = s.withColumns({"line_type": F.when(F.col("vec_id") % 2 != 0, "dialogue"), "text": F.when(F.col("vec_id") % 7 != 0, F.col("text")), "scene_index": F.when(F.col("vec_id") % 3 != 0, F.col("scene_index"))})
     return search.with_defaults(missing).select("scene_id", "movie_id", "scene_index", "line_type", "text")
 
 
@@ -142,12 +145,18 @@ def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ROWS = ("id", "document", "metadata", "embedding")
 
 
-@query("SELECT concat('p', vec_id) AS id, CASE WHEN label = 3 THEN concat('new ', vec_id) ELSE concat('text ', vec_id) END AS document, CAST(label AS VARCHAR) AS label FROM embeddings UNION ALL SELECT concat('q', vec_id), concat('new ', vec_id), CAST(label AS VARCHAR) FROM embeddings WHERE label = 3")
+@query("SELECT id, document, label FROM (SELECT concat('p', vec_id) AS id, CASE WHEN label = 3 THEN concat('new ', vec_id) ELSE concat('text ', vec_id) END AS document, CAST(label AS VARCHAR) AS label FROM embeddings UNION ALL SELECT concat('q', vec_id), concat('new ', vec_id), CAST(label AS VARCHAR) FROM embeddings WHERE label = 3)")
 def v8_upsert_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Through a store: the first batch repeats every id, the second some with other contents, of which the last wins; a store
+    opened anew reads the result."""
     p = _points(spark, sf_dir)
     changed = p.where("label = 3").withColumn("document", F.concat(F.lit("new "), "vec_id"))
     new = changed.withColumn("id", F.concat(F.lit("q"), "vec_id"))
-    merged = store.upsert(p.select(*_ROWS), changed.unionByName(new).select(*_ROWS))
+    stale = changed.withColumn("document", F.lit("stale"))
+    kept = store.Store(spark, new_folder(spark, "store"), 64)
+    kept.upsert("points", p.select(*_ROWS).unionByName(p.select(*_ROWS)))
+    kept.upsert("points", stale.unionByName(new).unionByName(changed).select(*_ROWS))
+    merged = store.Store(spark, kept.folder, 64).get("points")
     return merged.select("id", "document", F.col("metadata")["label"].alias("label"))
 
 
@@ -176,9 +185,17 @@ def v11_count_and_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.agg(F.count("*").alias("points")).crossJoin(store.fetch(p, wanted, ["id"]).agg(F.count("*").alias("found")))
 
 
-@query("SELECT concat('p', vec_id) AS id, 'known' AS state FROM embeddings WHERE label = 6 UNION ALL SELECT concat('n', vec_id), 'added' FROM embeddings WHERE label = 6")
+@query("SELECT concat('p', vec_id) AS id, 'known' AS state FROM embeddings WHERE label = 6 UNION ALL SELECT concat('n', vec_id), 'added' FROM embeddings WHERE label = 6 UNION ALL SELECT concat('p', vec_id), 'kept' FROM embeddings")
 def v10_add_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch with known ids fails as a whole, and so does one that repeats an id; what is new is added."""
     p = _points(spark, sf_dir)
-    batch = p.where("label = 6").select("id").unionByName(p.where("label = 6").select(F.concat(F.lit("n"), "vec_id").alias("id")))
-    known = store.fetch(batch, p.select("id"), ["id"]).select("id", F.lit("known").alias("state"))
-    return known.unionByName(store.absent(batch, p).select("id", F.lit("added").alias("state")))
+    batch = p.where("label = 6").unionByName(p.where("label = 6").withColumn("id", F.concat(F.lit("n"), "vec_id")))
+    known = store.fetch(batch, p, ["id"]).select("id", F.lit("known").alias("state"))
+    new = store.absent(batch, p)
+    for bad in (batch, new.unionByName(new)):
+        try:
+            store.add(p, bad)
+        except ValueError:
+            continue
+        raise RuntimeError("a guarded batch was added")
+    return known.unionByName(store.add(p, new).select("id", F.when(F.col("id").startswith("n"), "added").otherwise("kept").alias("state")))
