@@ -1,16 +1,20 @@
 """The corpus pipeline: quality rules, language ID, near-duplicate removal, secret masking, sequence packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents. Stages decide on their own input alone."""
+stage's docs. All but the last return the columns of documents. Stages decide on their own input alone.
 
-from __future__ import annotations
+Cases, of all stages: nulls may stand in any column; extra columns of any name stay; an empty table gives an empty one.
+Rows that repeat stay repeated up to near_dedup, which leaves one row of each (doc_id, text); a doc_id with several texts
+keeps those that are not copies. A null or empty text is rejected by the quality rules; where a stage gets one all
+the same, language ID rejects it, near_dedup and secret_scan keep it, packing leaves it out. Texts of any length are
+read whole."""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from vignette.llm import langid, packing, quality, secrets, simhash
-from vignette.llm.common import shared_dir
+from vignette.llm.common import remove, scratch, scratch_path
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,10 +45,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The bins of the packed corpus; stage results are Parquet in the shared folder."""
-    base = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The bins of the packed corpus. Stage results are Parquet in the shared folder; a stage's own tables go when it is
+    written, its result when the next stage is."""
+    base = scratch_path(spark, "pipeline")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{base}/{k}_{name}")
-        docs = spark.read.parquet(path)
+        path = f"{base}/{k}_{name}"
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
