@@ -107,11 +107,19 @@ def test_streams(spark, tmp_path):
 def test_mining_helpers(spark):
     scenes = spark.createDataFrame([(i, f"m{i % 4}", [float(i % 5), 1.0]) for i in range(40)], "vec_id bigint, movie_id string, embedding array<float>")
     asked = spark.createDataFrame([(100 + i, f"m{i}", [1.0, 1.0]) for i in range(4)], "query_id bigint, movie_id string, q array<float>")
-    for bucket in (512, 8):
-        drawn = mine.random_negatives(asked, scenes, 3, bucket=bucket).join(scenes, "vec_id").collect()
-        assert len(drawn) == 12 and all(f"m{r['query_id'] - 100}" != r["movie_id"] for r in drawn)
+    for parts in (1, 5):
+        drawn = mine.random_negatives(asked, scenes.repartition(parts), 3).join(scenes, "vec_id").collect()
+        assert len({(r["query_id"], r["vec_id"]) for r in drawn}) == 12 and all(f"m{r['query_id'] - 100}" != r["movie_id"] for r in drawn)
     few = mine.random_negatives(asked, scenes.where("vec_id < 2"), 3).collect()
     assert len(few) == 6
+    # a movie with most scenes, one without any, and every number of others from 0 on
+    skewed = spark.createDataFrame([(i, "big" if i < 90 else f"m{i % 3}", [1.0]) for i in range(100)], "vec_id bigint, movie_id string, embedding array<float>")
+    many = spark.createDataFrame([(i, ["big", "m0", "none"][i % 3], [1.0]) for i in range(300)], "query_id bigint, movie_id string, q array<float>")
+    drawn = mine.random_negatives(many, skewed, 7).join(skewed, "vec_id").join(many.withColumnRenamed("movie_id", "asked"), "query_id").collect()
+    assert len({(r["query_id"], r["vec_id"]) for r in drawn}) == len(drawn) == 2100 and all(r["movie_id"] != r["asked"] for r in drawn)
+    assert len({r["vec_id"] for r in drawn}) == 100 and len({r["vec_id"] for r in drawn if r["asked"] == "big"}) == 10
+    for k in range(6):
+        assert mine.random_negatives(asked.limit(1), scenes.where(f"movie_id = 'm0' OR vec_id < {k}"), 3).count() == min(3, sum(i % 4 != 0 for i in range(k)))
     study = mine.assignments([str(i) for i in range(10)], ["x", "y"], 4, 6)
     seen = [(p, q) for p, q, _ in study]
     assert len(seen) == len(set(seen)) and all(sum(p == f"P0{i}" for p, *_ in study) <= 6 for i in range(1, 5))

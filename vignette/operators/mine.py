@@ -13,7 +13,6 @@ from .nearest import block_top_k
 MIN_SIMILARITY = 0.35
 GAP = 0.05
 RANDOM_NEGATIVES = 3
-BUCKET = 512
 
 
 def best_in_movie(queries: DataFrame, scenes: DataFrame, n: int = 2, query_id: str = "query_id", scene: str = "vec_id") -> DataFrame:
@@ -40,27 +39,37 @@ def hard_negatives(queries: DataFrame, scenes: DataFrame, n: int = 5) -> DataFra
     return block_top_k(queries, scenes, n, corpus_id="vec_id", other="movie_id").withColumnsRenamed({"corpus_id": "vec_id"})
 
 
-def random_negatives(queries: DataFrame, scenes: DataFrame, n: int = RANDOM_NEGATIVES, seed: int = 42, bucket: int = BUCKET) -> DataFrame:
-    """(query_id, vec_id): n scenes of other movies, all of them if there are no more, in the order of a hash. Scenes lie
-    in buckets by a hash and a query draws from one of them, so the work is a bucket a query; queries whose bucket holds
-    too few draw from all scenes."""
-    pool = scenes.select("vec_id", F.col("movie_id").alias("of"))
-    asked = queries.select("query_id", "movie_id")
-    count = pool.count()
-    buckets = max(1, count // bucket)
-    at = lambda c, salt: F.pmod(F.xxhash64(F.lit(seed + salt), c), F.lit(buckets))
-    order = Window.partitionBy("query_id").orderBy(F.xxhash64(F.lit(seed), "query_id", "vec_id"), "vec_id")
-
-    def draw(pairs: DataFrame) -> DataFrame:
-        other = pairs.where("of <> movie_id").withColumn("r", F.row_number().over(order))
-        return other.where(F.col("r") <= n).select("query_id", "vec_id")
-
-    first = draw(asked.withColumn("b", at(F.col("query_id"), 1)).join(pool.withColumn("b", at(F.col("vec_id"), 2)), "b"))
-    if buckets == 1:
-        return first
-    full = first.groupBy("query_id").count().where(F.col("count") == n).select("query_id")
-    rest = asked.join(full, "query_id", "left_anti")
-    return first.join(full, "query_id", "left_semi").unionByName(draw(rest.crossJoin(pool)))
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with `__i`, their place in the order of columns that tell all rows apart. Ranges are counted side by side; one number a
+    range goes to the driver."""
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stored(laid.withColumn("__m", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("__m", 33).cast("int")
+    starts, total = [], 0
+    for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).orderBy("p").collect():
+        starts.append((r["p"], total))
+        total += r["n"]
+    offset = rows.sparkSession.createDataFrame(starts or [(0, 0)], "__p int, __start bigint")
+    both = placed.withColumn("__p", part).join(F.broadcast(offset), "__p")
+    return both.withColumn("__i", F.col("__start") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__p", "__m", "__start")
+
+
+def random_negatives(queries: DataFrame, scenes: DataFrame, n: int = RANDOM_NEGATIVES, seed: int = 42) -> DataFrame:
+    """(query_id, vec_id): n scenes of other movies, all of them if there are no more. Scenes are numbered movie by movie, so
+    the others of a movie are the numbers outside its stretch; a query takes n of them, equal steps apart from a start, both
+    by its hash, and meets their scenes by the number. No query meets scenes that it does not draw, however many a movie
+    has."""
+    laid = stored(numbered(scenes.select("vec_id", F.col("movie_id").alias("of")), "of", "vec_id"), "scenes")
+    own = laid.groupBy(F.col("of").alias("movie_id")).agg(F.min("__i").alias("first"), F.count("*").alias("own"))
+    asked = queries.select("query_id", "movie_id").join(own, "movie_id", "left").crossJoin(F.broadcast(laid.agg(F.count("*").alias("all"))))
+    others = F.col("all") - F.coalesce("own", F.lit(0))
+    draw = lambda salt, upto: F.pmod(F.xxhash64(F.lit(seed + salt), "query_id"), upto)
+    few = F.least(F.lit(n), others)
+    rows = asked.withColumns({"others": others, "few": few}).where("few > 0")
+    rows = rows.withColumns({"at": draw(0, F.col("others")), "step": 1 + draw(1, F.greatest(F.lit(1), F.floor(F.col("others") / F.col("few"))))})
+    drawn = rows.select("query_id", "first", "own", F.explode(F.transform(F.sequence(F.lit(0), (F.col("few") - 1).cast("int")), lambda j: F.pmod(F.col("at") + j * F.col("step"), F.col("others")))).alias("o"))
+    skipped = F.when(F.col("own").isNotNull() & (F.col("o") >= F.col("first")), F.col("o") + F.col("own")).otherwise(F.col("o"))
+    return drawn.select("query_id", skipped.alias("__i")).join(laid.select("__i", "vec_id"), "__i").select("query_id", "vec_id")
 
 
 def longest_scenes(scenes: DataFrame, n: int = 3, by: str = "movie_id", text: str = "text", key: str = "scene_index") -> DataFrame:
