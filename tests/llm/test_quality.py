@@ -93,3 +93,33 @@ def test_classifier_on_odd_rows(spark, documents, odd_rows):
     assert one_class is None
     assert {r["doc_id"] for r in byteconv.classify(df, None).collect() if not r["keep"]} == {1, 2, None}
     assert byteconv.fit(df.limit(0), labels.limit(0)) is None and byteconv.classify(df.limit(0), net).count() == 0
+
+
+def test_classifier_query_equals_loops(spark):
+    """Every probability and decision of the query, from chunks, filters and pools in plain loops over whole documents."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    net = byteconv.fit(docs, spark.read.parquet(f"{SMALL}/labels.parquet"))
+    w, move = {k: v.astype(np.float64) for k, v in net.w.items()}, byteconv.CHUNK - byteconv.OVERLAP
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    got = {r["doc_id"]: r for r in queries.op1_quality_classifier(spark, SMALL).collect()}
+    assert set(got) == set(texts)
+    near = 0
+    for i, t in texts.items():
+        if not t:
+            assert got[i]["probability"] is None and not got[i]["keep"]
+            continue
+        pooled = []
+        for a in range(0, max(1, len(t) - byteconv.OVERLAP), move):
+            chunk = t[a : a + byteconv.CHUNK].ljust(byteconv.CHUNK, b"\0")
+            best = np.full(len(w["fb"]), -np.inf)
+            for k in range(0, byteconv.CHUNK - byteconv.WIDTH + 1, byteconv.STEP):
+                best = np.maximum(best, w["emb"][list(chunk[k : k + byteconv.WIDTH])].ravel() @ w["f"])
+            pooled.append(np.maximum(best + w["fb"], 0))
+        z = np.concatenate([np.mean(pooled, axis=0), np.max(pooled, axis=0)]) @ w["o"] + w["ob"]
+        p = 1 / (1 + np.exp(-float(np.squeeze(z))))
+        assert got[i]["probability"] == pytest.approx(p, abs=2e-4)
+        if abs(p - net.threshold) > 2e-4:
+            assert got[i]["keep"] == (p >= net.threshold)
+        else:
+            near += 1
+    assert near < 5

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import re
+
 import numpy as np
+from compare import SMALL
 
 from vignette.llm import queries, secrets
 
@@ -47,3 +50,82 @@ def test_odd_rows(documents, odd_rows):
     assert secrets.findings(df.limit(0)).count() == 0 and secrets.redact(df.limit(0)).count() == 0
     secret = documents([(1, "password: hX72kQz9fLm2", "en")])
     assert secrets.redact(secret).first()["n_chars"] == len(secrets.redact(secret).first()["text"])
+
+
+WORDS = r"(?<![a-zA-Z])(?:pass(?:word|wd|phrase|code|wort)?|pwd|kennwort|secret|token|credentials?|(?:api|access|secret|private|encryption|session)[_-]?key|bearer)(?![a-zA-Z])"
+
+
+def taken_apart(run: str) -> list[tuple[int, int]]:
+    if run.startswith("//") or "://" in run:
+        user = re.search(r"//[^\s/:@]*:(\S+)@", run)
+        return ([user.span(1)] if user else []) + [m.span(1) for m in re.finditer(r"[?&;][\w.-]+=([^&;#\s]+)", run, re.A)]
+    cuts = [m.start() for m in re.finditer(r"[;&,?](?=[\w.-]+=)", run, re.A)]
+    key = re.compile(r"[\w.-]+=(?!=)", re.A)
+    if not cuts:
+        m = key.match(run)
+        return [(0, len(run))] + ([(m.end(), len(run))] if m and m.end() < len(run) else [])
+    out = []
+    for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(run)]):
+        m = key.match(run, a, b)
+        a = m.end() if m else a
+        out += [(a, b)] if a < b else []
+    return out
+
+
+def brute_candidates(data: bytes) -> set[tuple[int, int]]:
+    """All candidates of one text by regular expressions over Latin-1 characters, one for each byte."""
+    text, found = data.decode("latin-1"), set()
+    for m in re.finditer(r"[A-Za-z0-9_+/-]{8,}", text):
+        before = text[max(0, m.start() - 3) : m.start()]
+        led = bool(re.search(r"[:=][ \"']{0,2}$", before))
+        if re.search("[0-9]", m[0]) or led or len(m[0]) >= 16:
+            found.add(m.span())
+    lead = re.compile(rf"(?:[:=]+>?[^\S\n]*|{WORDS}[\"']?(?:\s+(?:is|was|ist|war|est|es|era)\b)?[\s:=>]+)(?:\"([^\"\s]+)|'([^'\s]+)|([^\s\"':=]\S*))", re.I | re.A)
+    for m in lead.finditer(text):
+        a, b = m.span(m.lastindex)
+        found |= {(a + x, a + y) for x, y in taken_apart(text[a:b])}
+    for m in re.finditer(r"[^\x00-\x20\"'\x7f]{8,}", text):
+        run = m[0]
+        if not (re.search("[0-9]", run) and re.search("[A-Za-z]", run) and re.search("[^A-Za-z0-9_+/-]", run)):
+            continue
+        left = run.lstrip("([{<*#%&$|`~")
+        a = m.start() + len(run) - len(left)
+        if re.match(r"[a-zA-Z_][\w.-]*[:=]+[^\s:=]", left, re.A):
+            continue
+        left = left.rstrip(".,;:!?)]}>*#%&$|`~")
+        found |= {(a + x, a + y) for x, y in taken_apart(left) if y - x >= 8}
+    return found
+
+
+def score(net, data: bytes, a: int, b: int) -> float:
+    """The highest calibrated probability of a candidate's windows, by plain loops."""
+    w, best = {k: v.astype(np.float64) for k, v in net.w.items()}, 0.0
+    for nth in range(max(1, -(-(b - a - secrets.BODY) // secrets.STRIDE) + 1)):
+        first = a + nth * secrets.STRIDE - secrets.LEFT
+        x = np.array([[*w["emb"][data[i] if 0 <= i < len(data) else 0], float(a <= i < b)] for i in range(first, first + secrets.WIDTH)])
+        for f, bias in (("a", "ab"), ("b", "bb")):
+            x = np.array([np.maximum(x[i : i + net.K].ravel() @ w[f] + w[bias], 0) for i in range(len(x) - net.K + 1)])
+        logit = float(np.concatenate([x.max(axis=0), x.mean(axis=0)]) @ w["o"] + w["ob"][0])
+        best = max(best, 1 / (1 + np.exp(-(net.scale * logit + net.shift))))
+    return best
+
+
+def test_query_equals_brute_force(spark):
+    net, want, close = secrets.model(), {}, set()
+    for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect():
+        data = r["text"].encode()
+        bad, reach = [], 0
+        for a, b in sorted(brute_candidates(data), key=lambda s: (s[0], -s[1])):
+            p = score(net, data, a, b)
+            if abs(p - net.threshold) < 1e-3:
+                close.add(r["doc_id"])
+            if p >= net.threshold:
+                bad.append((a, b, p))
+        for a, b, p in bad:
+            if a >= reach:
+                want[r["doc_id"], a, b - a] = p
+            reach = max(reach, b)
+    got = {(r["doc_id"], r["at"], r["length"]): r["probability"] for r in queries.op4_secret_scan(spark, SMALL).collect()}
+    keep = lambda found: {k for k in found if k[0] not in close}
+    assert keep(got) == keep(want) and got and len(close) < 3
+    assert all(abs(got[k] - want[k]) < 1e-3 for k in keep(got))

@@ -8,7 +8,9 @@ fifth of them sets the threshold, so that KEEP_GOOD of good documents are kept.
 
 Cases: a null or empty text has no probability and is not kept; a document however long is read whole; if the labels
 lack one class nothing can be learnt: the probability is null and all texts are kept; several labels of one document
-count as the lowest; other columns are not looked at.
+count as the lowest; repeated rows get equal results; a probability equal to the threshold is kept; labels of unknown
+documents and labels other than 0 and 1 teach nothing; an empty table gives no rows; ids that are no number become null;
+other columns are not looked at.
 """
 
 from __future__ import annotations

@@ -3,10 +3,11 @@
 The zstandard ratio (bytes / compressed bytes) of a whole document must lie in the band of its length, and the
 chunks of CHUNK bytes that lie outside the chunk band may make up at most CHUNK_SHARE of its bytes. Above a band the
 text repeats itself, below it the text is close to incompressible (keys, encoded binaries). Bands widen with length
-because longer texts offer more matches; the table holds for running prose at level 3.
+because longer texts offer more matches. The table was set for running prose in Latin script at level 3; other scripts
+and levels need bands of their own.
 
 Cases: a null or empty text is rejected as "empty"; a text of any length is read whole; repeated rows get equal
-verdicts; no other column is looked at.
+verdicts; a ratio on the edge of its band is kept; an empty table gives no rows; no other column is looked at.
 """
 
 from __future__ import annotations
