@@ -405,7 +405,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         words = _loaded(data)
         for batch in batches:
             raw_all, offsets_all = utf8(batch.column(1))
-            for a, b in slices(offsets_all, 1 << 21):
+            for a, b in slices(offsets_all, 1 << 19):
                 raw, offsets = raw_all[offsets_all[a] : offsets_all[b]], offsets_all[a : b + 1] - offsets_all[a]
                 ids, bounds = words.encode(raw, offsets)
                 n = words.length[ids]
@@ -437,7 +437,7 @@ def counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         words = _loaded(data)
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, 1 << 21):
+            for a, b in slices(offsets, 1 << 19):
                 _, bounds = words.encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds), pa.int64())], ["doc_id", "total"])
 

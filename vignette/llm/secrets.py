@@ -520,7 +520,7 @@ def findings(docs: DataFrame, net: Network | None = None, id_col: str = "doc_id"
     def run(batches):
         for batch in batches:
             raw_all, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, 1 << 22):
+            for a, b in slices(offsets, 1 << 20):
                 part = offsets[a : b + 1] - offsets[a]
                 start, end, row, p, bad = scan(raw_all[offsets[a] : offsets[b]], part, net)
                 start, end, row, p = start[bad], end[bad], row[bad], p[bad]
@@ -539,7 +539,7 @@ def redacted(text: Column, net: Network | None = None) -> Column:
     def run(column: pa.Array) -> pa.Array:
         raw, offsets = utf8(column)
         parts: dict[int, list[tuple[int, int]]] = {}
-        for a, b in slices(offsets, 1 << 22):
+        for a, b in slices(offsets, 1 << 20):
             start, end, row, _, bad = scan(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], net)
             for s, e, r in zip(start[bad].tolist(), end[bad].tolist(), row[bad].tolist()):
                 parts.setdefault(r + a, []).append((s + int(offsets[a]), e + int(offsets[a])))

@@ -42,7 +42,7 @@ FANOUT = 8.0  # expected children of a fingerprint at each level
 SEED = 20_240_917
 
 
-def fingerprints(column: pa.Array, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+def fingerprints(column: pa.Array, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
     """(n, 2) uint64 fingerprints and the number of features; texts without words have 0 features."""
     raw_all, offsets = utf8(pc.utf8_lower(column.cast(pa.large_string())))
     n = len(offsets) - 1
