@@ -177,6 +177,30 @@ def boundaries(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 # --- merges ---------------------------------------------------------------------------------------------------------
 
 
+class Known:
+    """Slices by hash, sorted, and their ids."""
+
+    def __init__(self, names: np.ndarray = np.empty(0, np.uint64), starts: np.ndarray = np.zeros(1, np.int64), ids: np.ndarray = np.empty(0, np.int32)):
+        self.names, self.starts, self.ids = names, starts, ids
+
+    def places(self, names: np.ndarray) -> np.ndarray:
+        """Where each name stands, -1 where it does not."""
+        if not len(self.names):
+            return np.full(len(names), -1)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where(self.names[at] == names, at, -1)
+
+    def with_more(self, other: Known) -> Known:
+        every = np.concatenate([self.names, other.names])
+        n = np.concatenate([np.diff(self.starts), np.diff(other.starts)])
+        first = np.concatenate([self.starts[:-1], len(self.ids) + other.starts[:-1]])
+        order = np.argsort(every, kind="stable")
+        n, first = n[order], first[order]
+        until = np.cumsum(n)
+        pool = np.concatenate([self.ids, other.ids])
+        return Known(every[order], np.concatenate([[0], until]), pool[np.repeat(first - (until - n), n) + np.arange(until[-1] if len(until) else 0)])
+
+
 class Vocabulary:
     def __init__(self, data: bytes):
         """data: lines of a token in base 64 and its rank."""
@@ -210,9 +234,7 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.empty(0, np.uint64)
-        self.known_start = np.zeros(1, np.int64)
-        self.known_ids = np.empty(0, np.int32)
+        self.known, self.recent = Known(), Known()
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -315,17 +337,19 @@ class Vocabulary:
         end = np.append(start[1:], len(raw))
         name = span_hashes(raw, start, end)
         distinct, place, which = np.unique(name, return_index=True, return_inverse=True)
-        at = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
-        have = self.known[at] == distinct if len(self.known) else np.zeros(len(distinct), bool)
+        have, n, first, base = np.zeros(len(distinct), bool), np.empty(len(distinct), np.int64), np.empty(len(distinct), np.int64), 0
+        for known in (self.known, self.recent):
+            at = known.places(distinct)
+            hit = np.flatnonzero((at >= 0) & ~have)
+            n[hit] = known.starts[at[hit] + 1] - known.starts[at[hit]]
+            first[hit] = base + known.starts[at[hit]]
+            have[hit] = True
+            base += len(known.ids)
         new = np.flatnonzero(~have)
         fresh, count = self.merge(raw, start[place[new]], end[place[new]])
-        n = np.empty(len(distinct), np.int64)
-        first = np.empty(len(distinct), np.int64)
-        n[have] = (self.known_start[1:] - self.known_start[:-1])[at[have]]
-        first[have] = self.known_start[:-1][at[have]]
         n[new] = count
-        first[new] = len(self.known_ids) + np.cumsum(count) - count
-        pool = np.concatenate([self.known_ids, fresh])
+        first[new] = base + np.cumsum(count) - count
+        pool = np.concatenate([self.known.ids, self.recent.ids, fresh])
         per = n[which]
         until = np.cumsum(per)
         ids = pool[np.repeat(first[which] - (until - per), per) + np.arange(until[-1])]
@@ -351,18 +375,12 @@ class Vocabulary:
         return bad
 
     def _remember(self, name: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
-        if len(self.known) + len(name) > CACHE:
+        """New slices go into a small table, which is merged into the large one when it has grown to a share of it."""
+        if len(self.known.names) + len(self.recent.names) + len(name) > CACHE:
             self.forget()
-        every = np.concatenate([self.known, name])
-        n = np.concatenate([np.diff(self.known_start), count])
-        first = np.concatenate([self.known_start[:-1], len(self.known_ids) + np.cumsum(count) - count])
-        pool = np.concatenate([self.known_ids, ids])
-        order = np.argsort(every, kind="stable")
-        n, first = n[order], first[order]
-        until = np.cumsum(n)
-        self.known = every[order]
-        self.known_start = np.concatenate([[0], until])
-        self.known_ids = pool[np.repeat(first - (until - n), n) + np.arange(until[-1] if len(until) else 0)]
+        self.recent = self.recent.with_more(Known(name, np.concatenate([[0], np.cumsum(count)]), ids))
+        if len(self.recent.names) > max(20_000, len(self.known.names) // 2):
+            self.known, self.recent = self.known.with_more(self.recent), Known()
 
     def decode(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of the ids, one after the other."""
@@ -405,7 +423,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         words = _loaded(data)
         for batch in batches:
             raw_all, offsets_all = utf8(batch.column(1))
-            for a, b in slices(offsets_all, 1 << 19):
+            for a, b in slices(offsets_all, 1 << 20):
                 raw, offsets = raw_all[offsets_all[a] : offsets_all[b]], offsets_all[a : b + 1] - offsets_all[a]
                 ids, bounds = words.encode(raw, offsets)
                 n = words.length[ids]
@@ -437,7 +455,7 @@ def counts(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         words = _loaded(data)
         for batch in batches:
             raw, offsets = utf8(batch.column(1))
-            for a, b in slices(offsets, 1 << 19):
+            for a, b in slices(offsets, 1 << 20):
                 _, bounds = words.encode(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(bounds), pa.int64())], ["doc_id", "total"])
 
