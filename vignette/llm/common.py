@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from ..storage import bounded_batches  # noqa: F401  (for the operators)
+
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0x100000001B3)
 BASE_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
@@ -71,17 +73,6 @@ def scratch(spark):
         remove(spark, *_OPEN.pop())
 
 
-BATCH_BYTES = 8 << 20
-
-
-def bounded_batches(spark) -> None:
-    """Bounds the bytes of an Arrow batch, so that what a worker holds does not depend on how long texts are. Every operator
-    sets the same bound, so it does not matter which plan was built last; a bound that the session sets itself stays."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name) in ("67108864b", "64MB", "64m", "67108864"):
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
