@@ -138,7 +138,7 @@ def s8_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def s9_csv_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, "csv")
     files.write_csv(views.table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text", "source"), folder)
-    return spark.read.schema("doc_id bigint, text string, source string").option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).csv(folder)
+    return files.read_csv(spark, folder, "doc_id bigint, text string, source string")
 
 
 @query("SELECT source, count(*) AS documents, CAST(sum(n_chars) AS BIGINT) AS characters FROM documents GROUP BY source")

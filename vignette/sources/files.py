@@ -122,13 +122,22 @@ def eval_queries(spark: SparkSession, path: str, lookup: DataFrame | None = None
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
     """Graded rows of a CSV with a header: those with a blank, a word or anything but 0, 1 and 2 as their grade go."""
-    rows = spark.read.schema(ANNOTATION).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    rows = read_csv(spark, path, ANNOTATION)
     grade = F.expr("try_cast(trim(relevance_grade) AS double)")
     return rows.select("person_id", "query_id", "engine", F.expr("try_cast(rank AS int)").alias("rank"), "movie_key", grade.alias("grade")).where(F.col("grade").isin(0.0, 1.0, 2.0))
 
 
+#: Fields as they are: every string in quotes, quotes doubled, no space trimmed, lines told apart by a line feed alone.
+CSV = {"header": True, "escape": '"', "charToEscapeQuoteEscaping": "\uffff", "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "lineSep": "\n"}
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    rows.write.mode("overwrite").options(**CSV, quoteAll=True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a CSV with a header; fields may hold line breaks. An empty field is null."""
+    return spark.read.schema(schema).options(**CSV, multiLine=True).csv(path)
 
 
 def write_report(rows: DataFrame, path: str) -> None:
