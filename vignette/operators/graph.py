@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,11 +46,16 @@ def is_noise(name: Column) -> Column:
     )
 
 
+#: A word in small letters, with or without a mark behind it: cleaned it is itself, the mark or nothing, all of which is noise.
+SMALL_WORD = r"^\p{Ll}*[a-z]\p{Ll}*[.,;:!?]?$"
+
+
 def clean_entities(entities: DataFrame, by: list[str], order: str = "ord") -> DataFrame:
     """(by, text, label, order): known labels, cleaned names, no noise; of names that differ in case only the first,
     or the first not in capitals if that one is, in the first one's place."""
     # explode() keeps the optimizer from pushing the filters below the cleaning, which would repeat it in every predicate
-    rows = entities.where(F.col("label").isin(ENTITY_TYPES)).select(*by, "label", order, F.explode(F.array(clean_name(F.col("text")))).alias("text"))
+    able = entities.where(F.col("label").isin(ENTITY_TYPES) & ~F.col("text").rlike(SMALL_WORD))  # most words of a text need no cleaning
+    rows = able.select(*by, "label", order, F.explode(F.array(clean_name(F.col("text")))).alias("text"))
     rows = rows.where((F.col("text") != "") & ~is_noise(F.col("text"))).withColumn("__key", F.lower("text"))
     shouted = (F.col("text") == F.upper("text")) & (F.col("text") != F.lower("text"))
     one = rows.groupBy(*by, "__key").agg(F.min_by(F.struct("text", "label"), F.struct(shouted, order)).alias("e"), F.min(order).alias(order))
@@ -148,16 +152,24 @@ def filtered_entities(entities: DataFrame, choose: Callable[[list[dict]], list[d
     if choose is None:
         return rows
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        try:
-            told = choose(frame[["text", "label"]].to_dict("records"))
-            made = pd.DataFrame([(frame[by].iloc[0], e["text"], e["label"], i) for i, e in enumerate(told)], columns=[by, "text", "label", order])
-        except Exception:  # a filter is somebody else's code
-            return frame[[by, "text", "label", order]]
-        return made
+    listed = F.array_sort(F.collect_list(F.struct(F.coalesce(F.col(order), F.lit(2**63 - 1)).alias("at"), "text", "label", order))).alias("listed")
+    one = rows.groupBy(by).agg(listed)
+    kept = F.transform("listed", lambda x: F.struct(x["text"], x["label"], x[order]))
+
+    @F.arrow_udf("array<struct<text:string,label:string,ord:bigint>>")
+    def ask(listed: pa.Array) -> pa.Array:
+        out = []
+        for entities in listed.to_pylist():
+            try:
+                told = choose([{"text": e["text"], "label": e["label"]} for e in entities])
+                made = [(e["text"], e["label"], i) for i, e in enumerate(told)]
+                pa.array([x for e in made for x in e[:2]], pa.string())  # what is no text is no answer
+                out.append([{"text": t, "label": n, "ord": i} for t, n, i in made])
+            except Exception:  # a filter is somebody else's code
+                out.append(None)
+        return pa.array(out, pa.list_(pa.struct([("text", pa.string()), ("label", pa.string()), ("ord", pa.int64())])))
 
-    return rows.groupBy(by).applyInPandas(run, rows.schema)
+    return one.select(by, ask("listed").alias("told"), kept.alias("kept")).select(by, F.explode(F.coalesce("told", "kept")).alias("e")).select(by, "e.text", "e.label", F.col("e.ord").alias(order))
 
 
 def extracted_relations(texts: DataFrame, entities: DataFrame, extract: Callable[[str, list[str]], str], by: str = "movie_id", text: str = "text") -> DataFrame:
