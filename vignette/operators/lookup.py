@@ -17,7 +17,9 @@ def aliases(movies: DataFrame) -> DataFrame:
     cut = lambda c: F.trim(F.regexp_replace(blank(c), r"(?i),?\s+(the|a|an)$", ""))
     made = [F.col("key"), *[alnum_key(blank(c)) for c in ("name", "title", "file_name")], *[alnum_key(cut(c)) for c in ("name", "title")]]
     made += [alnum_key(F.concat(F.lit(f"{a} "), blank(c))) for a in ARTICLES for c in ("name", "title")]
-    return movies.select("key", F.explode(F.array_distinct(F.array(*made))).alias("alias")).where("alias <> ''").select("alias", "key")
+    # dealt out first: an aggregate of strings sorts all aliases of a task, and a table in one file would be one task
+    dealt = movies.repartition(int(movies.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key")
+    return dealt.select("key", F.explode(F.array_distinct(F.array(*made))).alias("alias")).where("alias <> ''").select("alias", "key")
 
 
 def build(movies: DataFrame) -> DataFrame:
