@@ -11,6 +11,7 @@ from ..functions import text
 from ..functions.text import LEAK_STOPS, QUERY_STOPS, RETRIEVAL_STOPS
 from ..operators import clean, evaluate, leakage, lexical, lookup, measure, nearest, search
 from ..sources import views
+from ..storage import stored
 from .registry import cosine_sql, query
 
 
@@ -387,7 +388,11 @@ _PREV = f"j AS (SELECT doc_id, list_distinct({_QTOK.format('text')}) AS a, lag(l
 def f3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document against the one before it in its source."""
     t = text.content_tokens(F.col("text"))
-    d = views.table(spark, sf_dir, "documents").select("doc_id", "source", t.alias("a")).withColumn("b", F.lag("a").over(Window.partitionBy("source").orderBy("doc_id")))
+    # the order of a source is found from ids alone and the words meet by row, so that no task holds the words of a source
+    d = stored(views.table(spark, sf_dir, "documents").select("doc_id", "source", F.array_distinct(t).alias("a"), F.monotonically_increasing_id().alias("row")), "words")
+    before = F.lag("row").over(Window.partitionBy("source").orderBy("doc_id", "row"))
+    linked = d.select("row", before.alias("last")).where("last IS NOT NULL")
+    d = d.join(linked, "row").join(d.select(F.col("row").alias("last"), F.col("a").alias("b")), "last")
     return d.where("b IS NOT NULL").select("doc_id", F.round(text.jaccard(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
