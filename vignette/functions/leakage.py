@@ -22,8 +22,12 @@ def title_words(title: Column) -> Column:
 
 def leaks_title(query: Column, title: Column) -> Column:
     """More than half of the title's telling words occur in the query, also inside other words."""
+    return leaks_words(query, title_words(title))
+
+
+def leaks_words(query: Column, words: Column) -> Column:
+    """The same for the title's telling words."""
     plain = strip(F.regexp_replace(F.lower(query), r"[^a-z0-9\s]", ""))
-    words = title_words(title)
     found = F.size(F.filter(words, lambda w: F.contains(plain, w)))
     return F.when(F.size(words) == 0, F.lit(False)).otherwise(found / F.size(words) > 0.5)
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import repair
-from ..functions.leakage import leaks_title
+from ..functions.leakage import leaks_title, leaks_words, title_words
 from ..functions.text import content_key, squeeze, strip, word_count
 from ..storage import stored
 from .mine import longest_scenes
@@ -47,16 +47,26 @@ def replies(kind: str, ask: Ask, tries: int = 3, **fields: Column) -> Column:
     return run(F.struct(*[fields[n].alias(n) for n in names]))
 
 
-def _merged(found: Column, told: Column, title: Column, most: Column | int) -> Column:
-    """found with the new strings behind it: those that leak the title or repeat one in content words are left out."""
-    fine = F.filter(F.coalesce(told, F.array().cast("array<string>")), lambda q: ~leaks_title(q, title) & (content_key(q) != ""))
-    start = F.struct(found.alias("l"), F.transform(found, content_key).alias("k"))
+def _once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with more columns, each computed once a row: the optimizer does not copy expressions over an explode(), and so
+    does not repeat them wherever the columns are read."""
+    made = rows.withColumn("__once", F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+    return made.withColumns({n: F.col("__once")[n] for n in columns}).drop("__once")
 
-    def step(acc: Column, q: Column) -> Column:
-        new = F.struct(F.array_append(acc["l"], q).alias("l"), F.array_append(acc["k"], content_key(q)).alias("k"))
-        return F.when(F.array_contains(acc["k"], content_key(q)) | (F.size(acc["l"]) >= most), acc).otherwise(new)
 
-    return F.aggregate(fine, start, step, lambda acc: acc["l"])
+def _merged(rows: DataFrame, found: str, told: Column, title: Column, most: int) -> DataFrame:
+    """rows with the new strings behind those of the column `found`: those that leak the title or repeat one in content words
+    are left out. Replies, title words and keys are computed once a row or string, before they are compared."""
+    rows = _once(rows, __told=F.coalesce(told, F.array().cast("array<string>")), __words=title_words(title), __known=F.transform(found, content_key))
+    fine = F.filter("__told", lambda q: ~leaks_words(q, F.col("__words")))
+    rows = _once(rows, __new=F.filter(F.transform(fine, lambda q: F.struct(content_key(q).alias("k"), q.alias("q"))), lambda x: x["k"] != ""))
+
+    def step(acc: Column, x: Column) -> Column:
+        new = F.struct(F.array_append(acc["l"], x["q"]).alias("l"), F.array_append(acc["k"], x["k"]).alias("k"))
+        return F.when(F.array_contains(acc["k"], x["k"]) | (F.size(acc["l"]) >= most), acc).otherwise(new)
+
+    start = F.struct(F.col(found).alias("l"), F.col("__known").alias("k"))
+    return rows.withColumn(found, F.aggregate("__new", start, step, lambda acc: acc["l"])).drop("__told", "__words", "__known", "__new")
 
 
 def synopsis_queries(movies: DataFrame, ask: Ask, n: int = SYNOPSIS_QUERIES, tries: int = 3) -> DataFrame:
@@ -64,6 +74,7 @@ def synopsis_queries(movies: DataFrame, ask: Ask, n: int = SYNOPSIS_QUERIES, tri
     repeat or give the title away. A movie without an overview is not asked about and has none."""
     none = F.array().cast("array<string>")
     rows = movies.select("movie_id", "movie_title", F.coalesce("overview", F.lit("")).alias("overview"), none.alias("queries"))
+    rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "movie_id")  # calls go to all cores, however few files there are
     for attempt in range(max(2, -(-n // SYNOPSIS_BATCH) + 1)):
         wants = (strip(F.col("overview")) != "") & (F.size("queries") < n)
         open_ = rows.where(wants)
@@ -71,7 +82,7 @@ def synopsis_queries(movies: DataFrame, ask: Ask, n: int = SYNOPSIS_QUERIES, tri
             break
         number = F.least(F.lit(SYNOPSIS_BATCH), F.lit(n) - F.size("queries"))
         told = open_.withColumn("reply", replies("synopsis", ask, tries, overview=F.col("overview"), n=number, attempt=F.lit(attempt)))
-        told = told.withColumn("queries", _merged(F.col("queries"), repair.string_list(F.col("reply"), "queries"), F.coalesce("movie_title", F.lit("")), n)).drop("reply")
+        told = _merged(told, "queries", repair.string_list(F.col("reply"), "queries"), F.coalesce("movie_title", F.lit("")), n).drop("reply")
         rows = stored(told.unionByName(rows.where(~wants)), "synopsis")
     return rows.select("movie_id", "movie_title", "queries")
 
