@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import alnum_key, strip, word_count
 from ..operators import parse
 
+SPLITS = 32  # of whole files that a task reads at most
 LINE_QUERY = "movie_id string, movie_title string, query string, query_type string, scene_idx int"
 FLAT_EVAL = "array<struct<query:string,movie_id:string,movie_title:string,movie_name:string,validation:struct<has_leakage:boolean>>>"
 META = "map<string,struct<file:struct<name:string,file_name:string,source:string>,tmdb:struct<title:string,overview:string,id:bigint,release_date:string>,parsed:struct<tagged:string>>>"
@@ -27,6 +28,9 @@ def stem(path: Column) -> Column:
 def whole_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): UTF-8 where the bytes are valid, else Latin-1."""
     raw = spark.read.format("binaryFile").load(path).select("path", "content")
+    # a split counts every file with the cost of opening it, so that small files make a task of some thirty each
+    splits = raw._jdf.queryExecution().toRdd().getNumPartitions()
+    raw = raw.coalesce(max(1, min(splits, max(4 * spark.sparkContext.defaultParallelism, splits // SPLITS))))
     good = F.is_valid_utf8(F.col("content").cast("string"))
     return raw.select("path", F.when(good, F.col("content").cast("string")).otherwise(F.decode("content", "ISO-8859-1")).alias("text"))
 
