@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
 from . import graph
 from .store import Store
 
@@ -26,11 +27,13 @@ class GraphStore:
             raise ValueError("rebuild is for all movies")
         if movie_id is not None:
             entities, relations = entities.where(F.col("movie_id") == movie_id), relations.where(F.col("movie_id") == movie_id)
+        entities = stored(entities, "named")  # every table below is made of them
         if entities.isEmpty():
             raise ValueError("no entities to build from" if movie_id is None else f"no entities of {movie_id}")
-        made = graph.documents(entities, relations)
+        own, kept, dropped = graph.documents(entities, relations)
+        made = own, stored(kept, "kept"), dropped  # written and counted
         names = entities.groupBy("movie_id").agg(*[F.min(c).alias(c) for c in ("entity_file", "relation_file") if c in entities.columns], F.lit(1).alias("one"))
-        movies = graph.titled(names).select("movie_id", "title", "source_file")
+        movies = stored(graph.titled(names).select("movie_id", "title", "source_file"), "movies")
         if rebuild:
             self.reset()
         for table, fresh, key in zip(TABLES, (movies, *made), ("movie_id", "entity_id", "relation_id", "movie_id")):
