@@ -26,7 +26,7 @@ from ..storage import bounded_batches, stored
 
 DIGITS = 6  # scores are rounded before they rank, so that the last bits decide nothing
 PART_BYTES = 128 << 20  # of corpus blocks that a task holds
-HELD = 1 << 22  # results that a worker keeps before it passes them on
+HELD = 1 << 22  # results that a worker keeps before it passes them on, and as many numbers of query vectors
 
 
 def search(corpus: DataFrame, query: Sequence[float], k: int = 20, key: Sequence[str] = ("vec_id",), movie_id: str | None = None, vector: str = "embedding") -> DataFrame:
@@ -107,7 +107,7 @@ def _met(batches, begin, results):
             if not len(q_ids) or not len(c_ids):
                 continue
             if number[r] not in held:
-                if sum(x.held() for x in held.values()) >= HELD:
+                if sum(x.held() for x in held.values()) >= HELD or sum(x.x.size for x in held.values()) >= HELD:
                     yield from (y for x in held.values() for y in results(x))
                     held.clear()
                 held[number[r]] = begin(q_ids.copy(), _vectors(q_ids, q).copy(), q_g.copy())
