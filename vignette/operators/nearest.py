@@ -85,7 +85,8 @@ def _pairs(left: DataFrame, right: DataFrame, group: str | None) -> DataFrame:
         copies = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         return left.withColumn("salt", F.pmod("q_no", F.lit(salts)).cast("int")).join(copies, [group, "salt"]).select(*columns)
     size = right.agg(F.sum(F.length("c_flat"))).first()[0] or 0
-    return left.repartition(4 * cores).crossJoin(right.coalesce(max(1, -(-size // PART_BYTES)))).select(*columns)
+    # without the hint few queries would be broadcast, and the corpus with its few partitions would be dealt out to as few tasks
+    return left.repartition(4 * cores).crossJoin(right.coalesce(max(1, -(-size // PART_BYTES))).hint("shuffle_replicate_nl")).select(*columns)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -98,23 +99,25 @@ def _vectors(ids: np.ndarray, flat: np.ndarray) -> np.ndarray:
 
 
 def _met(batches, begin, results):
-    """Feeds pairs of blocks to one state a query block, made by begin(ids, vectors, groups), and yields what they hold."""
-    held = {}
+    """Feeds pairs of blocks to one state a query block, made by begin(ids, vectors, groups), and yields what they hold. Before a
+    pair is met, all states together hold less than HELD results, in whatever order the pairs come."""
+    held, kept, numbers = {}, 0, 0
     for batch in batches:
         number = batch.column(0).to_pylist()
         for r in range(batch.num_rows):
             q_ids, q, q_g, c_ids, c, c_g = (np.frombuffer(batch.column(i)[r].as_buffer(), t) for i, t in zip(range(1, 7), (np.int64, np.float64, np.int64) * 2))
             if not len(q_ids) or not len(c_ids):
                 continue
+            if kept >= HELD or numbers >= HELD and number[r] not in held:
+                yield from (y for x in held.values() for y in results(x))
+                held, kept, numbers = {}, 0, 0
             if number[r] not in held:
-                if sum(x.held() for x in held.values()) >= HELD or sum(x.x.size for x in held.values()) >= HELD:
-                    yield from (y for x in held.values() for y in results(x))
-                    held.clear()
                 held[number[r]] = begin(q_ids.copy(), _vectors(q_ids, q).copy(), q_g.copy())
+                numbers += q.size
             state = held[number[r]]
+            kept -= state.held()
             state.add(c_ids, _vectors(c_ids, c), c_g)
-            if state.held() >= HELD:
-                yield from results(held.pop(number[r]))
+            kept += state.held()
     yield from (y for x in held.values() for y in results(x))
 
 
